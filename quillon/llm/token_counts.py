@@ -1,8 +1,9 @@
 """Token counts: Arrow batches in, lengths out.
 
 count_tokens encodes whole texts with a public tokenizer inside an Arrow function and returns lengths only.
-Texts are cut at safe boundaries into pieces, and the pieces are encoded in batches of about equal bytes, so
-one long text neither swells a batch nor holds a worker's memory. No shuffle: the scan's splits are balanced by bytes.
+Texts are split at safe boundaries (JVM side), so a long text is many short pieces; a task encodes each distinct
+piece once, in batches of about equal bytes (pieces.py), and adds up the lengths of a text's pieces. A worker holds one
+bounded Arrow batch and one bounded table, whatever the length of a text. No shuffle: the scan's splits are balanced by bytes.
 
 Nulls and empty texts count 0 bytes and 0 tokens. Repeated rows give repeated rows; a null id stays null.
 Other columns, whatever their names, are left out. An empty table gives no rows.
@@ -10,7 +11,7 @@ Other columns, whatever their names, are left out. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,73 +20,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty, type_of
+from .common import bounded_batches, text_or_empty, type_of
+from .pieces import SIGN_AFTER_LETTER, PieceTable, load
 
-#: A text over PIECE characters is cut; BATCH bytes of pieces are encoded at once.
-PIECE, BATCH = 1 << 15, 1 << 18
-#: After an ASCII letter or digit and before a blank or line end no pretoken, special token or composed character goes on.
-SAFE = re.compile(r"[A-Za-z0-9](?=[ \n])")
+#: Before a blank or line end that follows a visible ASCII or Latin character no pretoken goes on, no character composes, and no special token stands.
+SAFE = rf"(?=[ \n])(?<=[!-~À-ɏ])|{SIGN_AFTER_LETTER}"
+#: Words that are counted at a time.
+PART = 100_000
 
 
 @lru_cache(maxsize=4)
-def load(file: str):
-    """(function of a list of texts giving lengths, whether texts may be cut)."""
-    import os
+def may_split(file: str) -> bool:
+    """Whether texts may be split at SAFE: byte-level BPE of .json files that adds no blank of its own."""
+    if not file.endswith(".json"):
+        return False  # sentencepiece's normalizer strips and joins blanks
+    t = json.loads(load(file).to_str())
+    return t["normalizer"] is None and (t["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not t["pre_tokenizer"]["add_prefix_space"]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+def whole_lengths(texts: list[str], file: str) -> list[int]:
     if file.endswith(".model"):
         import sentencepiece
 
-        p = sentencepiece.SentencePieceProcessor(model_file=file)
-        # its normalizer may strip and join blanks at the ends, so texts aren't cut
-        return lambda texts: [len(x) for x in p.encode(texts, num_threads=1)], False
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(file)
-    t.no_truncation()
-    t.no_padding()
-    return lambda texts: [len(e) for e in t.encode_batch(texts, add_special_tokens=False)], True
-
-
-def pieces(text: str, most: int = PIECE) -> Iterator[str]:
-    """The text in pieces of about most characters, cut only at safe boundaries; whole if it has none."""
-    at = 0
-    while len(text) - at > most and (m := SAFE.search(text, at + most - 1)):
-        yield text[at : m.end()]
-        at = m.end()
-    yield text[at:]
-
-
-def lengths(texts: list[str], file: str) -> np.ndarray:
-    count, may_cut = load(file)
-    total = np.zeros(len(texts), dtype=np.int64)
-    owners: list[int] = []
-    held: list[str] = []
-    size = 0
-
-    def flush() -> None:
-        np.add.at(total, owners, count(held))
-        owners.clear()
-        held.clear()
-
-    for k, text in enumerate(texts):
-        for p in pieces(text) if may_cut else [text]:
-            held.append(p)
-            owners.append(k)
-            size += len(p)
-            if size >= BATCH:
-                flush()
-                size = 0
-    if held:
-        flush()
-    return total
+        return [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=file).encode(texts, num_threads=1)]
+    return [len(load(file).encode(t, add_special_tokens=False)) for t in texts]
 
 
 def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes long (UTF-8), n_tokens long, for every row of df."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths(b.column(2).to_pylist(), file))], names=[id_col, "n_bytes", "n_tokens"])
-
-    source = df.select(F.col(id_col), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"), text_or_empty(text_col).alias("text"))
-    return map_batches(source, run, f"`{id_col}` {type_of(df, id_col)}, n_bytes long, n_tokens long")
+    bounded_batches(df.sparkSession)
+    names = [id_col, "n_bytes", "n_tokens"]
+
+    def by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(file)
+        for b in batches:
+            counts = np.diff(b.column(2).offsets.to_numpy())
+            total = np.zeros(b.num_rows, dtype=np.int64)
+            of = np.repeat(np.arange(b.num_rows), counts)
+            flat = b.column(2).flatten()
+            for k in range(0, len(flat), PART):
+                coded = flat.slice(k, PART).dictionary_encode()
+                rows = table.rows(coded.dictionary.to_pylist())
+                np.add.at(total, of[k : k + PART], np.diff(table.ends)[rows][coded.indices.to_numpy()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], names=names)
+
+    def by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole_lengths(b.column(2).to_pylist(), file), type=pa.int64())], names=names)
+
+    text, split = text_or_empty(text_col), may_split(file)
+    source = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), (F.split(text, SAFE) if split else text).alias("text"))
+    return source.mapInArrow(by_pieces if split else by_texts, f"`{id_col}` {type_of(df, id_col)}, n_bytes long, n_tokens long")
