@@ -1,11 +1,11 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Spark splits each text at ASCII white space (JVM side). Within a split of the input an Arrow function holds the
+Spark splits each text at ASCII white space and between letters and signs (JVM side). Within a split of the input an Arrow function holds the
 table of distinct words: each is encoded once by the tokenizers library, ids are joined back to every occurrence
 by position (Arrow's take), and decoding joins each id to its piece the same way. A word between blanks encodes
 alone as it does in the text, as the tokenizer drops white space before it splits, and no rule looks across it.
 
-The table of words is one for each task, not one for the corpus: see README. It is bounded by WORDS and starts
+The table of words is one for each task, not one for the corpus: see README. It is bounded (pieces.PIECES) and starts
 again when full; ids don't depend on that. No shuffle, nothing broadcast.
 
 A null text is empty; an empty text has no ids and decodes to the empty text. Repeated rows stay; null ids stay null.
@@ -13,6 +13,7 @@ A null text is empty; an empty text has no ids and decodes to the empty text. Re
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,22 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, bounded_batches, text_or_empty, type_of
-
-#: Most distinct words that a task keeps.
-WORDS = 400_000
-
-
-@lru_cache(maxsize=4)
-def load(file: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(file)
-    t.no_truncation()
-    t.no_padding()
-    return t
+from .pieces import SIGN_AFTER_LETTER, PieceTable, load
 
 
 @lru_cache(maxsize=4)
@@ -48,35 +34,18 @@ def piece_table(file: str) -> pa.Array:
     return pa.array([t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))])
 
 
-class WordTable:
-    """word -> ids, each word encoded once; kept as one flat array of ids with offsets."""
-
-    def __init__(self, file: str, most: int = WORDS):
-        self.file, self.most = file, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def look_up(self, words: list[str]) -> pa.ListArray:
-        """The ids of each word of a list of distinct words."""
-        if len(self.row) + len(words) > self.most:
-            self.clear()
-        if new := [w for w in words if w not in self.row]:
-            for w, e in zip(new, load(self.file).encode_batch(new, add_special_tokens=False)):
-                self.row[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, dtype=np.int32))
-        found = [self.ids[self.row[w]] for w in words]
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+def folded(words: pa.Array) -> pa.Array:
+    """A-Z lower-cased, as the tokenizer does itself, so that fewer words are distinct; not where that could make a special token or compose another character."""
+    plain = pc.and_(pc.match_substring_regex(words, r"^[!-~\x{C0}-\x{FF}]*$"), pc.invert(pc.match_substring(words, "<")))
+    return pc.if_else(plain, pc.ascii_lower(words), words)
 
 
-def encode_words(words: pa.ListArray, table: WordTable) -> pa.ListArray:
+def encode_words(words: pa.ListArray, table: PieceTable) -> pa.ListArray:
     """Lists of words to lists of ids: distinct words, their ids, joined back by position."""
     flat = words.flatten()
     coded = flat.dictionary_encode()
-    by_word = table.look_up(coded.dictionary.to_pylist()).take(coded.indices)
+    rows = table.rows(folded(coded.dictionary).to_pylist())
+    by_word = table.lists().take(pa.array(rows[coded.indices.to_numpy()]))
     start = words.offsets.to_numpy()
     ends = by_word.offsets.to_numpy()[start - start[0]]
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), by_word.flatten())
@@ -91,12 +60,14 @@ def decode_ids(ids: pa.ListArray, file: str) -> pa.Array:
 
 def encode_decode(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>, decoded string, for every row of df."""
-    if load(file).to_str().find('"decoder":null') < 0:
-        raise ValueError("decoding by blanks needs a tokenizer without a decoder")
+    t = json.loads(load(file).to_str())
+    kinds = {n["type"] for n in (t["normalizer"] or {}).get("normalizers", [])}
+    if t["decoder"] or not {"Lowercase", "NFC"} <= kinds:
+        raise ValueError("words encode alone, and decode with blanks between, in lower-casing tokenizers without a decoder")
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(file)
+        table = PieceTable(file)
         for b in batches:
             at = 0
             size = np.diff(b.column(1).offsets.to_numpy()).cumsum()
@@ -108,5 +79,5 @@ def encode_decode(df: DataFrame, file: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, decode_ids(ids, file)], names=[id_col, "ids", "decoded"])
                 at = end
 
-    words = F.filter(F.split(text_or_empty(text_col), ASCII_SPACE), lambda w: w != "")
+    words = F.split(text_or_empty(text_col), f"{ASCII_SPACE}|{SIGN_AFTER_LETTER}")
     return df.select(F.col(id_col), words.alias("words")).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, ids array<int>, decoded string")
