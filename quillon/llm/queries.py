@@ -3,14 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, token_counts
+from . import bpe, decontamination, html_extraction, quality_classifier, quality_rules, simhash, token_counts, toxicity, training_pages, url_filter, warc_revisits
 from .common import read
 
+#: op6: rules, and the listed hosts.
+URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: op1: a page is seen again, unmodified, so many pages later.
+AGAIN = 1000
+#: op5: least probability of a grade over the lowest.
+LEAST_TAIL = 0.5
+
+
+def crawl(pages: DataFrame) -> DataFrame:
+    """Captures of a crawl that takes the pages in the order of their ids and asks for each again, AGAIN pages later, with the validator that it got."""
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    first = pages.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), "page_id", "url", (2 * F.col("page_id")).alias("ts"), F.lit(True).alias("full"),
+        F.array(pair("Content-Type", F.lit("text/html")), pair("Content-Length", size), pair("ETag", etag), pair("Date", F.col("page_id"))).alias("headers"), etag.alias("digest"),
+    )
+    again = pages.select(
+        F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("record_id"), "page_id", "url", (2 * (F.col("page_id") + AGAIN) + 1).alias("ts"), F.lit(False).alias("full"),
+        F.array(pair("Content-Length", F.lit("0")), pair("ETag", F.concat(F.lit("W/"), etag)), pair("Date", F.col("page_id") + AGAIN)).alias("headers"), F.lit(None).cast("string").alias("digest"),
+    )
+    return first.unionByName(again)
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve(crawl(read(spark, sf_dir, "pages")))
+    fields = F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit("="), h["value"]))
+    return found.select("record_id", F.regexp_extract("record_id", r"\d+", 0).cast("long").alias("page_id"), "canonical_url", "outcome", "response_id", F.array_join(F.array_sort(fields), "; ").alias("headers"))
+
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -22,10 +56,53 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()), "toxic")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
+
+
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grades from the labels: 0 of low quality, 1 fine but toxic, 2 fine."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return labels.where("quality IS NOT NULL").select("doc_id", grade.alias("grade"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Ordinal:
+    return quality_classifier.train(docs, ratings(read(spark, sf_dir, "labels")), "grade")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir))
+    tail = F.element_at("tail", 1)
+    return scored.select("doc_id", "expected_grade", tail.alias("tail_1"), F.element_at("tail", -1).alias("tail_top"), (tail >= LEAST_TAIL).alias("kept"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.parse_rules(URL_RULES), listed)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@lru_cache(maxsize=1)
+def html_model() -> html_extraction.Model:
+    return html_extraction.train(training_pages.labelled())
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(read(spark, sf_dir, "pages"), html_model())
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(quality_rules.measure(read(spark, sf_dir, "documents")))
     measures = [F.col(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return book.select("doc_id", *measures, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "fail_bits")
+    return book.select("doc_id", *measures, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +112,74 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op9_quality_rules, op10_bpe)
+    f.__name__: f
+    for f in (op1_warc_revisits, op2_token_counts, op3_simhash_near_dedup, op4_toxicity, op5_quality_classifier, op6_url_filter, op7_decontamination, op8_html_extraction, op9_quality_rules, op10_bpe)
 }
 
-SQL: dict[str, str] = {}
+_PARTS = r"'^.*?://([^/?#]*)([^?#]*)(\?([^#]*))?'"
+
+SQL: dict[str, str] = {
+    "op1_warc_revisits": rf"""
+WITH parts AS (
+  SELECT page_id, coalesce(html, '') AS html, url,
+         regexp_replace(regexp_replace(lower(regexp_extract(url, {_PARTS}, 1, 's')), '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(url, {_PARTS}, 2, 's'), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(url, {_PARTS}, 4, 's'), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(lower(p), '{warc_revisits.TRACKING}'))), '&') AS query
+  FROM pages),
+canon AS (
+  SELECT page_id, '"' || md5(html) || '"' AS etag, strlen(html) AS size,
+         CASE WHEN contains(url, '://') AND host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
+  FROM parts),
+found AS (
+  SELECT v.page_id, v.etag, v.canonical_url, arg_max(r.page_id, r.page_id) AS rid, arg_max(r.etag, r.page_id) AS retag, arg_max(r.size, r.page_id) AS rsize
+  FROM canon v LEFT JOIN canon r ON v.canonical_url = r.canonical_url AND r.page_id <= v.page_id + {AGAIN}
+  GROUP BY v.page_id, v.etag, v.canonical_url)
+SELECT 'r' || page_id AS record_id, page_id, canonical_url, 'full' AS outcome, 'r' || page_id AS response_id,
+       'content-length=' || size || '; content-type=text/html; date=' || page_id || '; etag=' || etag AS headers
+FROM canon
+UNION ALL
+SELECT 'v' || page_id, page_id, canonical_url,
+       CASE WHEN rid IS NULL THEN 'unmatched' WHEN etag = retag THEN 'resolved' ELSE 'mismatch' END,
+       CASE WHEN etag = retag THEN 'r' || rid END,
+       CASE WHEN etag = retag THEN 'content-length=' || rsize || '; content-type=text/html; date=' || (page_id + {AGAIN}) || '; etag=W/' || etag
+            ELSE 'content-length=0; date=' || (page_id + {AGAIN}) || '; etag=W/' || etag END
+FROM found""",
+    "op6_url_filter": rf"""
+WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, {_PARTS}, 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, {_PARTS}, 2, 's'), '') AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_filter.parse_rules(URL_RULES))}) t(verdict, rhost, rpath)),
+fits AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, f.rule,
+       coalesce(f.verdict, CASE WHEN regexp_matches(p.host, '(^|\.)({"|".join(h.replace(".", chr(92) + ".") for h in LISTED_HOSTS)})$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id""",
+    "op9_quality_rules": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM docs),
+grams AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM split WHERE len(words) >= 3),
+named AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM grams),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM named),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) t(k) WHERE times >= 2 GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(d.n_lines, 0) AS n_lines,
+         len(list_distinct(words)) AS n_distinct, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^\p{Lu}\p{Ll}]', '', 'g')) AS n_alpha
+  FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id LEFT JOIN dups d ON s.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 30 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
+            OR (n_alpha >= 50 AND 100 * n_upper > 60 * n_alpha) OR (n_words >= 50 AND 100 * n_distinct < 8 * least(n_words, 1000))) AS kept
+FROM measured""",
+}
