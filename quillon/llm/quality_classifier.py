@@ -18,10 +18,8 @@ one grade, the fit fails with ValueError. Repeated rows stay; null ids stay null
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,39 +31,62 @@ from .common import bounded_batches, map_batches, text_or_empty, type_of
 BITS, MAX_ROWS, STEPS, RATE, RIDGE = 12, 8192, 300, 0.3, 1e-3
 
 
-@lru_cache(maxsize=1 << 16)
-def word_features(word: str) -> tuple[int, ...]:
-    """Slots of a word's own features."""
-    shape = []
-    for c in word:
+def slot(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+REPEAT, ALIKE, EMPTY = map(slot, ("repeat", "alike", "empty"))
+SIGNS = ".,;:!?%$&*#|\"'()"
+
+
+def shape(word: str) -> str:
+    """Runs of upper-case letters, other letters and digits as A, a and 9; other characters as they are, runs of one as one."""
+    core = word.rstrip(SIGNS)
+    if core.isalpha():
+        made = "a" if core.islower() else "A" if core.isupper() else "Aa" if core.istitle() else "mixed"
+        return made + word[len(core) :][:3]
+    made = ""
+    for c in word[:64]:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if not shape or shape[-1] != kind:
-            shape.append(kind)
-    size = "s" if len(word) < 3 else "m" if len(word) < 12 else "l" if len(word) < 25 else "x"
-    made = ("s:" + "".join(shape[:6]), "t:" + word[-2:].lower(), "z:" + size)
-    return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for f in made)
-
-
-REPEAT, ALIKE, EMPTY = (zlib.crc32(f) & ((1 << BITS) - 1) for f in (b"repeat", b"alike", b"empty"))
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text: square roots of shares, so that rare signs are heard."""
-    words = text.split()
-    if not words:
-        return np.array([EMPTY], dtype=np.int32), np.ones(1, dtype=np.float32)
-    times = Counter(words)
-    slots, counts = [], []
-    for w, n in times.items():
-        for f in word_features(w) if len(w) <= 64 else word_features(w[:32] + w[-32:]):
-            slots.append(f)
-            counts.append(n)
-    same = sum(map(str.__eq__, words[1:], words))
-    slots += [REPEAT, ALIKE]
-    counts += [same, len(words) - len(times)]
-    dense = np.bincount(slots, weights=counts, minlength=1)
-    at = np.flatnonzero(dense)
-    return at.astype(np.int32), np.sqrt(dense[at] / len(words)).astype(np.float32)
+        if made[-1:] != kind:
+            made += kind
+    return made[:6]
+
+
+class Features:
+    """Slots of words, each word looked at once; the table is bounded and starts again when full."""
+
+    def __init__(self, most: int = 150_000):
+        self.most = most
+        self.row: dict[str, int] = {}
+        self.slots = np.empty((most, 3), dtype=np.int32)
+
+    def add(self, word: str) -> int:
+        k = self.row[word] = len(self.row)
+        size = "s" if len(word) < 3 else "m" if len(word) < 12 else "l" if len(word) < 25 else "x"
+        self.slots[k] = slot("s:" + shape(word)), slot("t:" + word[-2:].lower()), slot("z:" + size)
+        return k
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and values of a text: square roots of shares, so that rare signs are heard."""
+        words = text.split()
+        if not words:
+            return np.array([EMPTY], dtype=np.int32), np.ones(1, dtype=np.float32)
+        dense = np.zeros(1 << BITS)
+        same = distinct = 0
+        for k in range(0, len(words), 100_000):
+            part = words[k : k + 100_000]
+            if len(self.row) + len(part) > self.most:
+                self.row.clear()
+            get, add = self.row.get, self.add
+            at = np.fromiter(((add(w) if (i := get(w)) is None else i) for w in part), dtype=np.int64, count=len(part))
+            dense += np.bincount(self.slots[at].ravel(), minlength=1 << BITS)
+            same += int((at[1:] == at[:-1]).sum())
+            distinct += len(np.unique(at))
+        dense[REPEAT] += same
+        dense[ALIKE] += len(words) - distinct
+        at = np.flatnonzero(dense)
+        return at.astype(np.int32), np.sqrt(dense[at] / len(words)).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -118,7 +139,7 @@ def train(df: DataFrame, ratings: DataFrame, rating_col: str, id_col: str = "doc
     joined = df.select(F.col(id_col), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("text", "rating")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t) for t in b.column(0).to_pylist()]
+        found = list(map(Features().of, b.column(0).to_pylist()))
         return pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["rating", "slots", "vals"])
 
     # df may repeat ids, so the rows are bounded once more
@@ -128,7 +149,7 @@ def train(df: DataFrame, ratings: DataFrame, rating_col: str, id_col: str = "doc
     if len(grades) < 2:
         raise ValueError(f"ratings of two grades at least are needed, {len(grades)} found")
     lists = [c.combine_chunks() for c in (t["slots"], t["vals"])]
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in t["slots"].to_pylist()])
+    rows = np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy()))
     return fit(rows, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), y, tuple(grades))
 
 
@@ -141,10 +162,10 @@ def score(df: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, thresholds, grades = shared.value
-        own = Ordinal(grades, w, thresholds)
+        own, table = Ordinal(grades, w, thresholds), Features()
         for b in batches:
             texts = b.column(names.index(text_col) if keep else 1).to_pylist()
-            found = [features(t or "") for t in texts]
+            found = [table.of(t or "") for t in texts]
             tails = own.tails(np.array([float(v @ w[s]) for s, v in found]).reshape(-1))
             tail = pa.array(list(tails), pa.list_(pa.float64()))
             if keep:
