@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows and bytes of one Arrow batch; a batch is what a Python worker holds at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 
 

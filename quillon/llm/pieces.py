@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most distinct pieces that a table keeps; when full it starts again. Bytes of one text of pieces, and of one batch of texts.
-PIECES, TEXT, BATCH = 500_000, 1 << 14, 1 << 18
+PIECES, TEXT, BATCH = 200_000, 1 << 14, 1 << 18
 #: Between a Latin letter and an ASCII sign or digit a pretoken ends, but for "'" (contractions) and "<", "|", ">" (special tokens).
 SIGN_AFTER_LETTER = r"(?=[!-&(-;=?@\[-`{}~])(?<=[A-Za-zÀ-ÖØ-öø-ÿ])"
 
