@@ -30,8 +30,11 @@ from .common import bounded_batches, text_or_empty, type_of
 
 Q, EDITS, WINDOW, MIN_CHARS = 8, 0.1, 160, 40
 #: Most characters of a broadcast part of the benchmark, and of documents that are scanned at a time.
-PART_CHARS, CHUNK = 8_000_000, 1 << 20
-SLOTS = 22
+PART_CHARS, CHUNK = 8_000_000, 1 << 19
+#: Bits of the table of hashes and of the tally; what is added to diagonals so that none is negative.
+SLOTS, TALLY, SHIFT = 22, 19, 1 << 20
+#: Zeros on either side of the text to align.
+PAD = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = np.zeros(0x3100, dtype=bool)
 WORD[0x80:] = True
@@ -66,7 +69,7 @@ def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Targets (windows of items) one after the other in code; postings by hash."""
+    """Targets (windows of items) one after the other in code; postings (target, its step, position in it) by hash."""
 
     code: np.ndarray
     start: np.ndarray
@@ -76,7 +79,9 @@ class Index:
     item: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
-    postings: np.ndarray
+    target: np.ndarray
+    offset: np.ndarray
+    step: np.ndarray
     flags: np.ndarray
 
 
@@ -106,7 +111,8 @@ def index_of(items: list[str | None], q: int = Q) -> Index:
     hashes, first = np.unique(h[order], return_index=True)
     flags = np.zeros(1 << SLOTS, dtype=bool)
     flags[hashes >> np.uint64(64 - SLOTS)] = True
-    return Index(flat, start, size, edits, size - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], where[order], flags)
+    target = np.searchsorted(start, where[order], side="right") - 1
+    return Index(flat, start, size, edits, size - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags)
 
 
 def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
@@ -118,41 +124,45 @@ def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.
     pos, row = pos[real], row[real]
     n = ix.first[row + 1] - ix.first[row]
     ends = np.cumsum(n)
-    post = ix.postings[np.repeat(ix.first[row] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-    target = np.searchsorted(ix.start, post, side="right") - 1
-    step = ix.edits[target] + 1
-    band = (np.repeat(pos, n) - (post - ix.start[target]) + (1 << 20)) // step
-    key = (target.astype(np.uint64) << np.uint64(32)) | band.astype(np.uint64)
-    key = np.concatenate([key, key - np.uint64(1)])
+    post = np.repeat(ix.first[row] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    band = (np.repeat(pos, n) - ix.offset[post] + SHIFT) // ix.step[post]
+    key = (ix.target[post] << 32) | band
+    key = np.concatenate([key, key - 1])
     with np.errstate(over="ignore"):
-        place = ((key * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
-    key = key[np.bincount(place, minlength=1 << SLOTS)[place] >= ix.bound.min(initial=1)]  # a tally of slots first: it never counts too little
+        place = ((key.view(np.uint64) * MIX) >> np.uint64(64 - TALLY)).view(np.int64)
+    key = key[np.bincount(place, minlength=1 << TALLY)[place] >= ix.bound.min(initial=1)]  # a tally of slots first: it never counts too little
     key, times = np.unique(key, return_counts=True)
-    target = (key >> np.uint64(32)).astype(np.int64)
+    target = key >> 32
     good = times >= ix.bound[target]
     target = target[good]
-    return target, (key[good] & np.uint64(0xFFFFFFFF)).astype(np.int64) * (ix.edits[target] + 1) - (1 << 20)
+    return target, (key[good] & 0xFFFFFFFF) * (ix.edits[target] + 1) - SHIFT
 
 
 def align(code: np.ndarray, target: np.ndarray, low: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Edit distance of each target to the best part of code within its band, and where that part ends; all at once, row by row."""
-    k = int(ix.edits[target].max())
-    width = 2 * (k + 1) + 2 * k + 1
-    t = np.arange(width)
-    base = low - k
-    rows = int(ix.size[target].max())
-    now = np.zeros((len(target), width), dtype=np.int32)
-    best, end = np.full(len(target), 1 << 20), np.zeros(len(target), dtype=np.int64)
-    for i in range(1, rows + 1):
-        at = base[:, None] + (i - 1) + t
-        doc = np.where((at >= 0) & (at < len(code)), code[at.clip(0, len(code) - 1)], 0)
-        want = ix.code[np.minimum(ix.start[target] + i - 1, len(ix.code) - 1)]
-        v = now + (doc != want[:, None])
-        v[:, :-1] = np.minimum(v[:, :-1], now[:, 1:] + 1)
+    """Edit distance of each target to the best part of code within its band, and where that part ends; all at once, row by row.
+
+    A match's path keeps to edits + 1 diagonals, which are whole in one of the overlapping bands. What is over its edits everywhere is left.
+    """
+    width = 2 * (int(ix.edits[target].max()) + 1)
+    t = np.arange(width, dtype=np.int16)
+    low, high = low.clip(-PAD, None) + PAD, len(code) + PAD
+    views = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(PAD, np.uint32), code, np.zeros(PAD + width + WINDOW * 2, np.uint32)], width)
+    start, size, most = ix.start[target], ix.size[target], ix.edits[target]
+    best, end = np.full(len(target), 1 << 14), np.zeros(len(target), dtype=np.int64)
+    live = np.arange(len(target))
+    now = np.zeros((len(target), width), dtype=np.int16)
+    for i in range(1, int(size.max()) + 1):
+        v = now + (views[np.minimum(low[live] + i - 1, high)] != ix.code[start[live] + i - 1][:, None])
+        np.minimum(v[:, :-1], now[:, 1:] + 1, out=v[:, :-1])
         now = np.minimum.accumulate(v - t, axis=1) + t
-        if (over := ix.size[target] == i).any():
-            best[over] = now[over].min(axis=1)
-            end[over] = base[over] + i + now[over].argmin(axis=1)
+        if (over := size[live] == i).any():
+            best[live[over]] = now[over].min(axis=1)
+            end[live[over]] = low[live[over]] - PAD + i + now[over].argmin(axis=1)
+        if i % 32 == 0 or over.any():
+            stay = ~over & (now.min(axis=1) <= most[live])
+            live, now = live[stay], now[stay]
+            if not len(live):
+                break
     return best, end
 
 
