@@ -11,8 +11,8 @@ compared lower-cased, with every run of signs and white space as one space.
 
 Documents aren't shuffled. The index is broadcast; a benchmark over PART_CHARS is scanned in parts of that size, one
 after the other. Items under MIN_CHARS (normalised) are too short to tell and match nothing; nor do null or empty items.
-Null and empty texts match nothing. Repeated rows give repeated matches; of items with equal ids each counts, and the
-best match of an id is given. An empty table on either side gives no rows.
+Null and empty texts match nothing. Repeated rows give repeated matches; of items with equal ids each different
+text counts by itself. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -196,7 +196,10 @@ def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]
                 begin = max(int(last - ix.size[target[j]] + 1), int(ends[text - 1]) if text else 1)
                 key = (first + text, int(ix.item[target[j]]))
                 new = (int(edits[j]), int(place[begin]), int(place[last]) + 1)
-                if key not in found or new < found[key]:
+                old = found.get(key)
+                if old and new[1] <= old[2] and new[2] >= old[1]:  # windows that overlap are one passage
+                    found[key] = (max(old[0], new[0]), min(old[1], new[1]), max(old[2], new[2]))
+                elif not old or new < old:
                     found[key] = new
     return [(t, i, s, e, d) for (t, i), (d, s, e) in sorted(found.items())]
 
@@ -207,7 +210,7 @@ def parts_of(benchmark: DataFrame, item_col: str, text_col: str, part_chars: int
     total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     n = max(1, -(-total // part_chars))
     for k in range(n):
-        t = benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k).select(F.col(item_col).alias("i"), text.alias("t")).orderBy("i", "t").toArrow()
+        t = benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k).select(F.col(item_col).alias("i"), text.alias("t")).distinct().orderBy("i", "t").toArrow()
         yield t["i"].to_pylist(), index_of(t["t"].to_pylist())
 
 

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, store, text_or_empty, type_of
@@ -36,6 +36,8 @@ WORDS, SEED, MOST = 4, 42, 4
 LIMIT = 2048
 #: Most hot keys that are broadcast (16 bytes each); with more, the join is left to the optimizer.
 HOT_KEYS = 100_000
+#: With so many bits fixed a list isn't split again: it has 256 fingerprints at most.
+LAST = 56
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -159,7 +161,7 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     found, rows = None, keyed(nodes.select("fp"))
     while True:
         key = [F.col("mask"), F.col("fp").bitwiseAND(F.col("mask")).alias("value")]
-        hot = store(rows.groupBy(*key).count().where(F.col("count") > limit).select("mask", "value"), "hot")
+        hot = store(rows.groupBy(*key).count().where((F.col("count") > limit) & (F.bit_count("mask") < LAST)).select("mask", "value"), "hot")
         n = hot.count()
         if not n:
             now = compare(rows)
@@ -194,13 +196,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if unique:
         return df.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(df.columns)
     # ids that repeat or lack: rows are told apart by their text too
-    ids = found.select(F.col(id_col).alias("_id"), "fp", "component_id").distinct()
+    ids = found.select(F.col(id_col).alias("_id"), F.col("fp").alias("_print"), F.col("component_id").alias("_class")).distinct()
     first = found.groupBy("component_id").agg(F.min_by("fp", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).alias("fp"))
-    rows = fingerprint_column(df, id_col, text_col).join(ids.alias("i"), F.col("_id").eqNullSafe(F.col(f"`{id_col}`")) & (F.col("_fp") == F.col("fp"))).select(*[F.col(f"`{c}`") for c in df.columns], "component_id", "_fp")
-    rows = rows.join(first.select(F.col("component_id").alias("_c"), F.col("fp").alias("_f")), F.col("component_id").eqNullSafe(F.col("_c")) & (F.col("_fp") == F.col("_f")), "left_semi")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))).orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
+    rows = fingerprint_column(df, id_col, text_col).join(ids, F.col("_id").eqNullSafe(F.col(f"`{id_col}`")) & (F.col("_fp") == F.col("_print"))).drop("_id", "_print")
+    rows = rows.join(first.select(F.col("component_id").alias("_c"), F.col("fp").alias("_f")), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_fp") == F.col("_f")), "left_semi")
+    w = Window.partitionBy(F.coalesce(F.col("_class").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))).orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(df.columns)
 
 
