@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontamination, quality_classifier, quality_rules, simhash
-from quillon.llm.common import read, store
+from quillon.llm.common import read, spread, store
 from quillon.llm.queries import LEAST_TAIL, quality_model
 
 POLICY = "v1"
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to as many pieces."""
+    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
     coded = bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

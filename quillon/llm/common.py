@@ -63,5 +63,18 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+#: Inputs up to this size are dealt anew if they have fewer files than there are cores; larger ones are left as they are.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in a few files is dealt to all cores (a shuffle of SMALL bytes at most); others stay as scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -219,7 +219,7 @@ def sum_product(f: Forest, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(belief - log_sum(belief, 1)[:, None]), joint
 
 
-def train(pages: list[str], steps: int = 400, rate: float = 0.1, ridge: float = 0.02) -> Model:
+def train(pages: list[str], steps: int = 300, rate: float = 0.1, ridge: float = 0.02) -> Model:
     """Maximum likelihood of the labels that data-y gives, by exact gradients from the marginals; nothing random."""
     f = Forest([parse(p) for p in pages])
     y = np.abs(f.label)  # the root, which has no label of its own, counts as content

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_extraction, quality_classifier, quality_rules, simhash, token_counts, toxicity, training_pages, url_filter, warc_revisits
-from .common import read
+from .common import read, spread
 
 #: op6: rules, and the listed hosts.
 URL_RULES = ["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"]
@@ -47,17 +47,17 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs, labels = spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()), "toxic")
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
@@ -74,7 +74,7 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir))
     tail = F.element_at("tail", 1)
     return scored.select("doc_id", "expected_grade", tail.alias("tail_1"), F.element_at("tail", -1).alias("tail_top"), (tail >= LEAST_TAIL).alias("kept"))
@@ -86,7 +86,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "benchmark"))
 
 
 @lru_cache(maxsize=1)
@@ -95,18 +95,18 @@ def html_model() -> html_extraction.Model:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extraction.extract(read(spark, sf_dir, "pages"), html_model())
+    found = html_extraction.extract(spread(read(spark, sf_dir, "pages").select("page_id", "url", "html")), html_model())
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(quality_rules.measure(read(spark, sf_dir, "documents")))
+    book = quality_rules.ledger(quality_rules.measure(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))))
     measures = [F.col(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return book.select("doc_id", *measures, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    coded = bpe.encode_decode(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("word_bpe_49k.json"))
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

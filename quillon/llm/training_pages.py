@@ -82,6 +82,6 @@ class Maker:
         return f'<!DOCTYPE html><html data-y="1"><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body data-y="1">{before}{main}{after}{end}'
 
 
-def labelled(n: int = 400, seed: int = 7) -> list[str]:
+def labelled(n: int = 250, seed: int = 7) -> list[str]:
     maker = Maker(seed)
     return [maker.page() for _ in range(n)]
