@@ -58,6 +58,16 @@ def two_places(score: Column) -> Column:
     return F.format_string("%.2f", score)
 
 
+def replaced(text: Column, old: str, new: str) -> Column:
+    """Every literal old as new."""
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
+def cut_tail(text: Column, n: int) -> Column:
+    """Without the last n characters; empty if there are no more."""
+    return F.substring(text, F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
+
+
 def tokens_of(text: str) -> list[str]:
     """The same tokens of a literal."""
     punct = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")

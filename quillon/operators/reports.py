@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.score import idf, idf_plus_one, idf_separate
 from ..plans.joins import Planner
-from ..plans.networks import Network
+from ..plans.networks import Network, generate
 from ..sources.tables import Database
+from ..spec import SchemaSpec
 from .nonfree import Stats, nonfree
+from .topk import prepare, results
 
 
 def df_by_table(db: Database, stats: Stats) -> DataFrame:
@@ -86,3 +90,22 @@ def workload(dictionary: DataFrame, draws: DataFrame) -> DataFrame:
     placed = draws.crossJoin(total).select("query", "draw", F.floor(F.col("at") * F.col("total")).alias("place"))  # one row with the total
     hit = ranged.drop("total").join(F.broadcast(placed), (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     return hit.select("query", "draw", "word")
+
+
+def compare_algorithms(db: Database, text: str, k: int = 10, algorithms: tuple[str, ...] = ("sparse", "global_pipeline", "queue_pipeline", "two_level_bound", "tree_pipeline"), **how) -> DataFrame:
+    """algorithm, networks, run, pruned, kth_score, seconds: the same query by each; equal kth scores are the check."""
+    out = []
+    for a in algorithms:
+        s = prepare(db, text, **how)
+        rows = list(results(s, k, a))
+        m = s.metrics
+        out.append((a, len(s.networks), int(m.get("run", 0)), int(m.get("pruned", 0)), rows[-1].score if rows else None, sum(v for n, v in m.items() if n.endswith("_s"))))
+    return db.spark.createDataFrame(out, "algorithm string, networks int, run int, pruned int, kth_score double, seconds double")
+
+
+def network_timings(spec: SchemaSpec, max_size: int) -> Iterator[str]:
+    """Lines 'size milliseconds networks' of generating all networks, for sizes from 3 up."""
+    for m in range(3, max_size + 1):
+        began = time.perf_counter()
+        n = len(generate(spec, spec.text_tables, m))
+        yield f"{m} {1000 * (time.perf_counter() - began):.0f} {n}"

@@ -46,6 +46,9 @@ def names(of: Column) -> Column:
 def load(recs: DataFrame) -> dict[str, DataFrame]:
     """item, person, publisher, series, person_item, cite. Containers and cited works that have no record become stubs."""
     recs = recs.where("key IS NOT NULL")
+    # records of one url are one item too: the first key names it
+    same = recs.where("url <> ''").groupBy("url").agg(F.min("key").alias("_first"))
+    recs = recs.join(same, "url", "left").withColumn("key", F.coalesce("_first", "key")).drop("_first")
     merged = recs.groupBy("key").agg(F.min("type").alias("type"), *[F.max(f).alias(f) for f in FIELDS])  # records of one key are one item
     cites = recs.select("key", F.explode(names("cite")).alias("reference")).where(F.length("reference") >= LEAST_CITE).distinct()
     kind = F.create_map(*[F.lit(x) for pair in CONTAINER.items() for x in pair])
