@@ -14,12 +14,16 @@ TIE = 1e-13
 
 @dataclass(frozen=True)
 class Params:
-    """alpha: completeness; beta: size; s: length; method: 'damped' (default), 'tuple_average' or 'virtual_document'."""
+    """alpha: completeness; beta: size; s: length; method: 'damped' (default), 'tuple_average' or 'virtual_document'.
+
+    soft_missing: a keyword that is there is missing in part, by how far its tf and idf are from the largest.
+    """
 
     alpha: float = 2.0
     beta: float = 0.15
     s: float = 0.0115
     method: str = "damped"
+    soft_missing: bool = False
     average_size: float = 5.7
 
 
@@ -63,8 +67,17 @@ def length_weight(dl: Column, avdl: float, p: Params) -> Column:
     return F.lit(1 - p.s) / (F.lit(1 - p.s) + F.lit(p.s) * dl / F.lit(avdl if avdl > 0 else 1.0))
 
 
-def tree_score(tfs: list[Column], idfs: list[float], dl: Column, avdl: float, weight: float, p: Params) -> Column:
-    """(sum of damped tf * idf) * weight * completeness * length."""
+def soft_missing(tfs: list[Column], idfs: list[float], top: list[int], p: Params) -> Column:
+    """The alpha-norm of what each keyword lacks of its largest tf and of the largest idf."""
+    largest, lacks = max(idfs), F.lit(0.0)
+    for tf, i, t in zip(tfs, idfs, top):
+        share = i / largest / t if largest > 0 and t else 0.0
+        lacks = lacks + F.pow(F.least(F.greatest(F.lit(1.0) - tf * F.lit(share), F.lit(0.0)), F.lit(1.0)), F.lit(p.alpha))
+    return F.pow(lacks, F.lit(1 / p.alpha))
+
+
+def tree_score(tfs: list[Column], idfs: list[float], dl: Column, avdl: float, weight: float, p: Params, top: list[int]) -> Column:
+    """(sum of damped tf * idf) * weight * completeness * length. top: the largest tf of each keyword in a row."""
     n = len(tfs)
     local = F.lit(0.0)
     for tf, i in zip(tfs, idfs):
@@ -72,7 +85,8 @@ def tree_score(tfs: list[Column], idfs: list[float], dl: Column, avdl: float, we
     missing = F.lit(0)
     for tf in tfs:
         missing = missing + (tf == 0).cast("int")
-    whole = F.lit(float(n) ** (1 / p.alpha)) - F.pow(missing.cast("double"), F.lit(1 / p.alpha))
+    lost = soft_missing(tfs, idfs, top, p) if p.soft_missing else F.pow(missing.cast("double"), F.lit(1 / p.alpha))
+    whole = F.lit(float(n) ** (1 / p.alpha)) - lost
     return local * F.lit(weight) * whole * length_weight(dl, avdl, p)
 
 

@@ -82,8 +82,14 @@ def network_sql(net: Network, q: KeywordQuery, p: Params = Params(), spec: Schem
     else:
         local = " + ".join(["0.0", *[f"{damp(tf)} * idf{i}" for i, tf in enumerate(tfs)]])
         missing = " + ".join(f"({tf} = 0)::INT" for tf in tfs)
+        lost = f"pow({missing}, {1 / p.alpha!r})"
+        if p.soft_missing:
+            top = [f"greatest({', '.join(f'(SELECT max(c{i}) FROM c_{t})' for t in spec.text_tables)})" for i in range(n)]
+            largest = f"greatest({', '.join(f'idf{i}' for i in range(n))})"
+            lacks = " + ".join(f"pow(least(greatest(1.0 - {tfs[i]} * (idf{i} / {largest} / {top[i]}), 0.0), 1.0), {p.alpha!r})" for i in range(n))
+            lost = f"pow({lacks}, {1 / p.alpha!r})"
         avdl = " + ".join(f"avgdl_{t}" for t in tables)
-        score = f"({local}) * {size_weight(net.size, net.nonfree, n, p)!r} * (pow({n}, {1 / p.alpha!r}) - pow({missing}, {1 / p.alpha!r})) * ({1 - p.s!r} / ({1 - p.s!r} + {p.s!r} * {dl} / ({avdl})))"
+        score = f"({local}) * {size_weight(net.size, net.nonfree, n, p)!r} * (pow({n}, {1 / p.alpha!r}) - {lost}) * ({1 - p.s!r} / ({1 - p.s!r} + {p.s!r} * {dl} / ({avdl})))"
     keys = " || '|' || ".join(f"'{t}:' || t{k}.key" for k, (t, _) in enumerate(net.nodes))
     source = ", ".join(f"{'nf' if h else 'fr'}_{t} t{k}" for k, (t, h) in enumerate(net.nodes))
     return f"SELECT round({score}, 9) AS score, {net.size}::INT AS cn_size, '{net.key}' AS cn_key, {keys} AS node_keys, {dl}::INT AS dl, [{', '.join(tfs)}] AS tf FROM {source}, st" + (f" WHERE {' AND '.join(where)}" if where else "")

@@ -46,7 +46,7 @@ class Planner:
         tops = [[s.max_tf[t, k] for k in s.keywords] for t, holds in net.nodes if holds]
         if self.p.method != "damped":
             return float("inf")
-        return upper_bound(tops, s.idfs, self.weight(net), self.matched(net), self.p)
+        return upper_bound(tops, s.idfs, self.weight(net), len(s.keywords) if self.p.soft_missing else self.matched(net), self.p)
 
     def rows(self, net: Network) -> DataFrame:
         """The joined trees with every node's columns. Joins start from the node with the fewest keyword rows and go outward."""
@@ -104,7 +104,7 @@ class Planner:
                 top = F.greatest(*each) if len(each) > 1 else each[0]
                 total = total + F.when(top > 0, top * damped(reduce(Column.__add__, each) / top)).otherwise(F.lit(0.0))
             return total * F.lit(1 / (0.8 + 0.2 * net.size / p.average_size))
-        return tree_score(tfs, s.idfs, dl, sum(s.avgdl[t] for t in tables), self.weight(net), p)
+        return tree_score(tfs, s.idfs, dl, sum(s.avgdl[t] for t in tables), self.weight(net), p, [max(s.max_tf[t, k] for t in s.sizes) for k in s.keywords])
 
     def top(self, net: Network, k: int) -> DataFrame:
         return in_order(self.scored(net)).limit(k)

@@ -204,6 +204,7 @@ top_query("topk_star", "furniture part:*", ["customer"])
 top_query("topk_pinned_cn", "@2 furniture widget", TABLES)
 top_query("topk_both_orders", FLAGSHIP, TABLES, break_symmetry=False)
 top_query("topk_alpha1", FLAGSHIP, TABLES, p=Params(alpha=1.0))
+top_query("topk_soft_missing", FLAGSHIP, TABLES, p=Params(soft_missing=True))
 top_query("topk_score1", FLAGSHIP, TABLES, p=Params(method="tuple_average"))
 top_query("topk_score3", FLAGSHIP, TABLES, p=Params(method="virtual_document"))
 for _a in ("sparse", "global_pipeline", "queue_pipeline", "two_level_bound", "tree_pipeline"):

@@ -45,7 +45,7 @@ def from_jdbc(spark: SparkSession, spec: SchemaSpec, url: str, **options: str) -
     return Database(spec, {t.name: spark.read.format("jdbc").options(url=url, dbtable=t.name, **options).load() for t in spec.tables})
 
 
-def discover(spark: SparkSession, database: str | None = None) -> dict[str, list[str]]:
+def catalog_tables(spark: SparkSession, database: str | None = None) -> dict[str, list[str]]:
     """Tables of a catalogue with their columns."""
     names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())]
     return {n: spark.table(f"{database}.{n}" if database else n).columns for n in names}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import cut_tail, replaced, stop_words
 from quillon.operators import reports
 from quillon.sources.frequency_file import read_frequencies
-from quillon.sources.tables import discover, from_catalog, from_parquet
+from quillon.sources.tables import catalog_tables, from_catalog, from_parquet
 from quillon.spec import SALES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_string_tools(spark, tmp_path):
 def test_catalog(spark):
     for t in SALES.tables:
         spark.read.parquet(f"{FOLDER}/{t.name}.parquet").createOrReplaceTempView(t.name)
-    assert discover(spark)["region"][0] == "r_regionkey"
+    assert catalog_tables(spark)["region"][0] == "r_regionkey"
     assert from_catalog(spark, SALES).sizes()["nation"] == 25
 
 
