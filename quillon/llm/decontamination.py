@@ -6,8 +6,11 @@ them up in an index of the benchmark's, count hits for each target and overlappi
 hit, so a range of k diagonals is whole in one), retain bands that reach the bound, and verify by alignment within the
 band. Nothing is sampled: a band below the bound can't hold a match.
 
-Long benchmark texts are looked for in overlapping windows, so that a part of WINDOW characters is found too. Texts are
-compared lower-cased, with every run of signs and white space as one space.
+Of a benchmark text of over WINDOW characters each part of WINDOW characters is looked for, wherever it begins: hits are
+counted for overlapping stretches of 2 WINDOW, one of which holds the part whole, and within the bands that reach the
+part's bound the parts on a grid are aligned first, then those at every offset. Up to 1.25 WINDOW the whole text is
+looked for as well, with its own edits. Texts are compared lower-cased, with every run of signs and white space as one
+space.
 
 Documents aren't shuffled. The index is broadcast; a benchmark over PART_CHARS is scanned in parts of that size, one
 after the other. Items under MIN_CHARS (normalised) are too short to tell and match nothing; nor do null or empty items.
@@ -33,8 +36,8 @@ Q, EDITS, WINDOW, MIN_CHARS = 8, 0.1, 160, 40
 PART_CHARS, CHUNK = 8_000_000, 1 << 19
 #: Bits of the table of hashes and of the tally; what is added to diagonals so that none is negative.
 SLOTS, TALLY, SHIFT = 22, 19, 1 << 20
-#: Zeros on either side of the text to align.
-PAD = 1024
+#: Zeros on either side of the text to align; most parts that are aligned at a time; half the step of the coarse offsets.
+PAD, ROWS, SLACK = 1024, 4096, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = np.zeros(0x3100, dtype=bool)
 WORD[0x80:] = True
@@ -69,11 +72,12 @@ def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Targets (windows of items) one after the other in code; postings (target, its step, position in it) by hash."""
+    """Targets (stretches of items) one after the other in code, each sought in parts of a length of its own; postings (target, its step, position in it) by hash."""
 
     code: np.ndarray
     start: np.ndarray
     size: np.ndarray
+    part: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
     item: np.ndarray
@@ -85,24 +89,24 @@ class Index:
     flags: np.ndarray
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    if n <= WINDOW + WINDOW // 4:
-        return [(0, n)]
-    starts = list(range(0, n - WINDOW, WINDOW // 2)) + [n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+def stretches(n: int) -> list[tuple[int, int, int]]:
+    """Begin and end of a text's stretches and the length of the parts to look for in each: every part of WINDOW is whole in one."""
+    whole = [(0, n, n)] if n <= WINDOW + WINDOW // 4 else []
+    return whole + [(s, min(s + 2 * WINDOW, n), WINDOW) for s in range(0, n - WINDOW, WINDOW)]
 
 
 def index_of(items: list[str | None], q: int = Q) -> Index:
-    codes, owners = [], []
+    codes, owners, parts = [], [], []
     for k, text in enumerate(items):
         code = normalised(text or "")[0]
         code = code[:-1] if len(code) and code[-1] == 32 else code
         if len(code) >= MIN_CHARS:
-            for a, b in windows(len(code)):
+            for a, b, part in stretches(len(code)):
                 codes.append(code[a:b])
                 owners.append(k)
-    size = np.array([len(c) for c in codes], dtype=np.int64)
-    edits = np.minimum((EDITS * size).astype(np.int64), (size - q) // q)  # the bound stays 1 at least
+                parts.append(part)
+    size, part = np.array([len(c) for c in codes], dtype=np.int64), np.array(parts, dtype=np.int64)
+    edits = np.minimum((EDITS * part).astype(np.int64), (part - q) // q)  # the bound stays 1 at least
     start = np.r_[0, np.cumsum(size)].astype(np.int64)
     flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
     where = np.concatenate([np.arange(s, s + n - q + 1) for s, n in zip(start, size)]) if codes else np.empty(0, np.int64)
@@ -112,7 +116,7 @@ def index_of(items: list[str | None], q: int = Q) -> Index:
     flags = np.zeros(1 << SLOTS, dtype=bool)
     flags[hashes >> np.uint64(64 - SLOTS)] = True
     target = np.searchsorted(start, where[order], side="right") - 1
-    return Index(flat, start, size, edits, size - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags)
+    return Index(flat, start, size, part, edits, part - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags)
 
 
 def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
@@ -138,16 +142,16 @@ def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.
     return target, (key[good] & 0xFFFFFFFF) * (ix.edits[target] + 1) - SHIFT
 
 
-def align(code: np.ndarray, target: np.ndarray, low: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Edit distance of each target to the best part of code within its band, and where that part ends; all at once, row by row.
+def align(code: np.ndarray, target: np.ndarray, offset: np.ndarray, low: np.ndarray, ix: Index, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance of each target's part at offset to the best part of code within its band, and where that ends; all at once, row by row.
 
-    A match's path keeps to edits + 1 diagonals, which are whole in one of the overlapping bands. What is over its edits everywhere is left.
+    A match's path keeps to edits + 1 diagonals, which are whole in one of the overlapping bands. What is over its edits by more than more everywhere is left.
     """
     width = 2 * (int(ix.edits[target].max()) + 1)
     t = np.arange(width, dtype=np.int16)
-    low, high = low.clip(-PAD, None) + PAD, len(code) + PAD
+    low, high = (low + offset).clip(-PAD, None) + PAD, len(code) + PAD
     views = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(PAD, np.uint32), code, np.zeros(PAD + width + WINDOW * 2, np.uint32)], width)
-    start, size, most = ix.start[target], ix.size[target], ix.edits[target]
+    start, size, most = ix.start[target] + offset, ix.part[target], ix.edits[target] + more
     best, end = np.full(len(target), 1 << 14), np.zeros(len(target), dtype=np.int64)
     live = np.arange(len(target))
     now = np.zeros((len(target), width), dtype=np.int16)
@@ -166,8 +170,40 @@ def align(code: np.ndarray, target: np.ndarray, low: np.ndarray, ix: Index) -> t
     return best, end
 
 
+def aligned(code: np.ndarray, targets: np.ndarray, lows: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int]]:
+    """(target, edits, end) of the parts that match: of each candidate those on the grid, or else the best of all offsets.
+
+    Offsets that differ by 1 differ by one edit at most, so where a coarse offset is over its edits by more than SLACK, none within SLACK of it matches.
+    """
+    most, last = ix.edits[targets], ix.size[targets] - ix.part[targets]
+
+    def grid(rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        n = -(-last[rows] // step) + 1
+        row = np.repeat(rows, n)
+        return row, np.minimum((np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step, last[row])
+
+    def tried(row: np.ndarray, offset: np.ndarray, more: int = 0) -> tuple[np.ndarray, ...]:
+        found = [align(code, targets[row[k : k + ROWS]], offset[k : k + ROWS], lows[row[k : k + ROWS]], ix, more) for k in range(0, len(row), ROWS)]
+        edits, end = (np.concatenate([f[j] for f in found] or [np.empty(0, np.int64)]) for j in (0, 1))
+        good = edits <= most[row] + more
+        return row[good], offset[good], edits[good], end[good]
+
+    row, _, edits, end = tried(*grid(np.arange(len(targets)), WINDOW // 2))
+    yield from zip(targets[row].tolist(), edits.tolist(), end.tolist())
+    left = last > 0
+    left[row] = False
+    row, near, _, _ = tried(*grid(np.flatnonzero(left), 2 * SLACK), SLACK)
+    offset = (near[:, None] + np.arange(-SLACK, SLACK + 1)).ravel().clip(0)
+    row = np.repeat(row, 2 * SLACK + 1)
+    row, _, edits, end = tried(row, np.minimum(offset, last[row]))
+    least = np.full(len(targets), 1 << 14)
+    np.minimum.at(least, row, edits)
+    best = edits == least[row]
+    yield from zip(targets[row[best]].tolist(), edits[best].tolist(), end[best].tolist())
+
+
 def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of the best passage of each item in each text (edits: the most of its windows); positions in the text, start give or take the edits."""
+    """(text, item, start, end, edits) of the best passage of each item in each text (edits: the most of its parts); positions in the text, start give or take the edits."""
     if not len(ix.size):
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -187,20 +223,17 @@ def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]
             continue
         place, ends = np.concatenate(places), np.array(owners[1:])
         targets, lows = candidates(code, ix)
-        for c in range(0, len(targets), 2048):
-            target, low = targets[c : c + 2048], lows[c : c + 2048]
-            edits, end = align(code, target, low, ix)
-            for j in np.flatnonzero(edits <= ix.edits[target]).tolist():
-                last = int(min(max(end[j] - 1, 0), len(code) - 1))
-                text = int(np.searchsorted(ends, last, side="right"))
-                begin = max(int(last - ix.size[target[j]] + 1), int(ends[text - 1]) if text else 1)
-                key = (first + text, int(ix.item[target[j]]))
-                new = (int(edits[j]), int(place[begin]), int(place[last]) + 1)
-                old = found.get(key)
-                if old and new[1] <= old[2] and new[2] >= old[1]:  # windows that overlap are one passage
-                    found[key] = (max(old[0], new[0]), min(old[1], new[1]), max(old[2], new[2]))
-                elif not old or new < old:
-                    found[key] = new
+        for target, edits, end in aligned(code, targets, lows, ix):
+            last = int(min(max(end - 1, 0), len(code) - 1))
+            text = int(np.searchsorted(ends, last, side="right"))
+            begin = max(int(last - ix.part[target] + 1), int(ends[text - 1]) if text else 1)
+            key = (first + text, int(ix.item[target]))
+            new = (edits, int(place[begin]), int(place[last]) + 1)
+            old = found.get(key)
+            if old and new[1] <= old[2] and new[2] >= old[1]:  # parts that overlap are one passage
+                found[key] = (max(old[0], new[0]), min(old[1], new[1]), max(old[2], new[2]))
+            elif not old or new < old:
+                found[key] = new
     return [(t, i, s, e, d) for (t, i), (d, s, e) in sorted(found.items())]
 
 

@@ -341,6 +341,22 @@ def test_decontamination_against_plain_alignment():
     assert got == want and len(want) > 15
 
 
+def test_decontamination_finds_parts_at_every_offset():
+    r = random.Random(15)
+    prose = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    part = decontamination.WINDOW
+    for size in (161, 180, 200, 201, 240, 320, 321, 410, 555):
+        item = prose(size)
+        ix = decontamination.index_of([item])
+        cut = [item[at : at + part] for at in range(size - part + 1)]
+        docs = [prose(300) + c + prose(300) for c in cut]
+        assert {t for t, *_ in decontamination.matches(docs, ix)} == set(range(len(docs)))
+        changed = [prose(300) + c[:10] + "".join("é" if k % 9 == 0 else x for k, x in enumerate(c[10:-10])) + c[-10:] + prose(300) for c in cut]
+        assert all(sum(a != b for a, b in zip(c, d[300:-300])) == 16 for c, d in zip(cut, changed))
+        assert {t for t, *_ in decontamination.matches(changed, ix)} == set(range(len(docs)))
+        assert not decontamination.matches([prose(300) + item[:100] + prose(300)], ix)
+
+
 def test_decontamination(spark):
     r = random.Random(13)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("n", "s", "ru", "pe", "dol")]
