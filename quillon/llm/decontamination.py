@@ -13,7 +13,8 @@ looked for as well, with its own edits. Texts are compared lower-cased, with eve
 space.
 
 Documents aren't shuffled. The index is broadcast; a benchmark over PART_CHARS is scanned in parts of that size, one
-after the other. Items under MIN_CHARS (normalised) are too short to tell and match nothing; nor do null or empty items.
+after the other. Items under MIN_CHARS (normalised) match exactly and at word bounds only, so an item of one word matches each text that
+holds the word; where that isn't wanted, the caller leaves such items out. Null and empty items match nothing.
 Null and empty texts match nothing. Repeated rows give repeated matches; of items with equal ids each different
 text counts by itself. An empty table on either side gives no rows.
 """
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +61,10 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(word[at], code[at], 32).astype(np.uint32), at
 
 
+def as_text(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
     """A hash for each q-gram, q a power of 2, by doubling."""
     h, base, n = code.astype(np.uint64), MIX | np.uint64(1), 1
@@ -87,6 +94,15 @@ class Index:
     offset: np.ndarray
     step: np.ndarray
     flags: np.ndarray
+    short: dict[str, list[int]]
+
+    @cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for text in self.short:
+            out.add_word(text, text)
+        out.make_automaton()
+        return out
 
 
 def stretches(n: int) -> list[tuple[int, int, int]]:
@@ -96,7 +112,7 @@ def stretches(n: int) -> list[tuple[int, int, int]]:
 
 
 def index_of(items: list[str | None], q: int = Q) -> Index:
-    codes, owners, parts = [], [], []
+    codes, owners, parts, short = [], [], [], {}
     for k, text in enumerate(items):
         code = normalised(text or "")[0]
         code = code[:-1] if len(code) and code[-1] == 32 else code
@@ -105,6 +121,8 @@ def index_of(items: list[str | None], q: int = Q) -> Index:
                 codes.append(code[a:b])
                 owners.append(k)
                 parts.append(part)
+        elif len(code):
+            short.setdefault(as_text(code), []).append(k)
     size, part = np.array([len(c) for c in codes], dtype=np.int64), np.array(parts, dtype=np.int64)
     edits = np.minimum((EDITS * part).astype(np.int64), (part - q) // q)  # the bound stays 1 at least
     start = np.r_[0, np.cumsum(size)].astype(np.int64)
@@ -116,7 +134,7 @@ def index_of(items: list[str | None], q: int = Q) -> Index:
     flags = np.zeros(1 << SLOTS, dtype=bool)
     flags[hashes >> np.uint64(64 - SLOTS)] = True
     target = np.searchsorted(start, where[order], side="right") - 1
-    return Index(flat, start, size, part, edits, part - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags)
+    return Index(flat, start, size, part, edits, part - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags, short)
 
 
 def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +220,18 @@ def aligned(code: np.ndarray, targets: np.ndarray, lows: np.ndarray, ix: Index)
     yield from zip(targets[row[best]].tolist(), edits[best].tolist(), end[best].tolist())
 
 
+def exact(code: np.ndarray, ix: Index) -> Iterator[tuple[str, int, int]]:
+    """(short item, start, end) where it stands in code between bounds of words (space, or the zeros around a text)."""
+    text = as_text(code)
+    for at, found in ix.finder.iter(text):
+        start, end = at - len(found) + 1, at + 1
+        if text[start - 1] in "\0 " and text[end] in "\0 ":
+            yield found, start, end
+
+
 def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the best passage of each item in each text (edits: the most of its parts); positions in the text, start give or take the edits."""
-    if not len(ix.size):
+    if not len(ix.size) and not ix.short:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     k = 0
@@ -218,10 +245,13 @@ def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]
             size += len(code) + 1
             owners.append(size)
             k += 1
-        code = np.concatenate(codes)
-        if len(code) < Q:
+        code, place, ends = np.concatenate(codes), np.concatenate(places), np.array(owners[1:])
+        for name, begin, end in exact(code, ix) if ix.short else ():
+            text = int(np.searchsorted(ends, begin, side="right"))
+            for item in ix.short[name]:
+                found.setdefault((first + text, item), (0, int(place[begin]), int(place[end - 1]) + 1))
+        if len(code) < Q or not len(ix.size):
             continue
-        place, ends = np.concatenate(places), np.array(owners[1:])
         targets, lows = candidates(code, ix)
         for target, edits, end in aligned(code, targets, lows, ix):
             last = int(min(max(end - 1, 0), len(code) - 1))

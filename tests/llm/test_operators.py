@@ -357,6 +357,17 @@ def test_decontamination_finds_parts_at_every_offset():
         assert not decontamination.matches([prose(300) + item[:100] + prose(300)], ix)
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([("q1", "Why is it so?"), ("q2", "42"), ("q3", "?!"), ("q4", None), ("q5", "why is it SO"), ("q6", "long enough to be aligned with edits, and never in a text")], "item_id string, text string")
+    texts = ["He asked: why -- is it\nso! Then left.", "why is it sour", "awhy is it so", "why is it", "so 42", "142 420", "Why is it so", "so", "why", "is it so 4", "2", "", None, "?!"]
+    rows = decontamination.contaminated(table(spark, texts), bench).where("doc_id IS NOT NULL").distinct().collect()
+    assert {(x.doc_id, x.item_id) for x in rows} == {(0, "q1"), (0, "q5"), (4, "q2"), (6, "q1"), (6, "q5")}
+    assert {(texts[x.doc_id][x.start : x.end], x.edits) for x in rows if x.doc_id == 0} == {("why -- is it\nso", 0)}
+    assert {x.doc_id for x in decontamination.decontaminated(table(spark, texts), bench.where("item_id <> 'q6'")).collect()} == {*range(len(texts)), None} - {0, 4, 6}
+    # a text of no words between others, and a batch of one chunk each
+    assert [m[:2] for m in decontamination.matches(["so", "", "42", "x"], decontamination.index_of(["so 42", "42"]))] == [(2, 1)]
+
+
 def test_decontamination(spark):
     r = random.Random(13)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("n", "s", "ru", "pe", "dol")]
