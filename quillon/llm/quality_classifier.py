@@ -36,6 +36,8 @@ def slot(name: str) -> int:
 
 
 REPEAT, ALIKE, EMPTY = map(slot, ("repeat", "alike", "empty"))
+#: Words that are looked up at a time.
+STRETCH = 100_000
 SIGNS = ".,;:!?%$&*#|\"'()"
 
 
@@ -74,15 +76,17 @@ class Features:
             return np.array([EMPTY], dtype=np.int32), np.ones(1, dtype=np.float32)
         dense = np.zeros(1 << BITS)
         same = distinct = 0
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000]
+        for k in range(0, len(words), STRETCH):
+            part = words[k : k + STRETCH]
             if len(self.row) + len(part) > self.most:
                 self.row.clear()
             get, add = self.row.get, self.add
             at = np.fromiter(((add(w) if (i := get(w)) is None else i) for w in part), dtype=np.int64, count=len(part))
             dense += np.bincount(self.slots[at].ravel(), minlength=1 << BITS)
-            same += int((at[1:] == at[:-1]).sum())
-            distinct += len(np.unique(at))
+            same += int((at[1:] == at[:-1]).sum()) + (k > 0 and words[k - 1] == words[k])
+            distinct = len(np.unique(at))
+        if len(words) > STRETCH:  # rows of the table hold within a stretch only
+            distinct = len(set(words))
         dense[REPEAT] += same
         dense[ALIKE] += len(words) - distinct
         at = np.flatnonzero(dense)

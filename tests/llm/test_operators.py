@@ -234,6 +234,22 @@ def test_ordinal_fit_orders_grades(spark):
         quality_classifier.train(df, rated.where("rating = 1"), "rating")
 
 
+@pytest.mark.parametrize("n", [1, 99_999, 100_000, 100_001, 250_000])
+def test_features_count_over_the_whole_text(n):
+    r = random.Random(16)
+    words = [f"w{min(r.randrange(60_000), r.randrange(60_000))}" for _ in range(n)]
+    for at in (100_000, 200_000):
+        if at < n:
+            words[at] = words[at - 1]
+    slots, values = quality_classifier.Features().of(" ".join(words))
+    got = dict(zip(slots.tolist(), values.tolist()))
+    fixed = [(quality_classifier.slot("s:" + quality_classifier.shape(w)), quality_classifier.slot("t:" + w[-2:]), quality_classifier.slot("z:" + ("s" if len(w) < 3 else "m"))) for w in words]
+    want = np.bincount(np.array(fixed).ravel(), minlength=1 << quality_classifier.BITS)
+    want[quality_classifier.REPEAT] += sum(a == b for a, b in zip(words, words[1:]))
+    want[quality_classifier.ALIKE] += n - len(set(words))
+    assert got == {int(k): pytest.approx(np.sqrt(want[k] / n), rel=1e-6) for k in np.flatnonzero(want)}
+
+
 def test_toxicity_grammar():
     m = toxicity.Model(toxicity.INSULTS, toxicity.OWN, toxicity.BASE)
     kind = lambda t: [e for e, n in zip(toxicity.EVENTS, m.counts(t)) if n]
