@@ -425,6 +425,13 @@ def test_html_held_out_accuracy():
     assert (content == (np.abs(f.label) > 0)).mean() > 0.97
 
 
+def test_html_held_out_pages_are_right_in_every_element():
+    for seed in (1002, 1003):
+        f = html_extraction.Forest([html_extraction.parse(p) for p in training_pages.labelled(500, seed)])
+        wrong = (html_extraction.sum_product(f, html_model())[0][:, 1] > 0.5) != (np.abs(f.label) > 0)
+        assert (np.add.reduceat(wrong.astype(int), f.start[:500]) == 0).mean() >= 0.99
+
+
 def test_html_extraction(spark):
     page = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><ul><li><a href="/">menu</a></ul></nav><div class="cookie-notice"><p>We use cookies</div><article><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four\n\n five</p><p>six<p>se&#118;en</article><div id="comments"><div class="comment"><p>first!</p></div></div><footer>&copy; me</footer>'
     cases = {page: "Head & line\n\nOne twothree four five\n\nsix\n\nseven", None: "", "": "", "just text": "just text", "<script>only": "", "<p>a<p>b": "a\n\nb", "<div>" * 3000 + "deep": "deep"}
