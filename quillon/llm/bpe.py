@@ -8,7 +8,9 @@ alone as it does in the text, as the tokenizer drops white space before it split
 The table of words is one for each task, not one for the corpus: see README. It is bounded (pieces.PIECES) and starts
 again when full; ids don't depend on that. No shuffle, nothing broadcast.
 
-A null text is empty; an empty text has no ids and decodes to the empty text. Repeated rows stay; null ids stay null.
+A null text is empty; an empty text has no ids and decodes to the empty text. Long texts are encoded whole, in as many
+words at a time as a worker may hold. Equal texts have equal ids; repeated rows stay; null ids stay null. An empty table gives no rows.
+Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, bounded_batches, text_or_empty, type_of
+from .common import ASCII_SPACE, bounded, text_or_empty, type_of
 from .pieces import SIGN_AFTER_LETTER, PieceTable, load
 
 
@@ -64,11 +66,10 @@ def encode_decode(df: DataFrame, file: str, id_col: str = "doc_id", text_col: st
     kinds = {n["type"] for n in (t["normalizer"] or {}).get("normalizers", [])}
     if t["decoder"] or not {"Lowercase", "NFC"} <= kinds:
         raise ValueError("words encode alone, and decode with blanks between, in lower-casing tokenizers without a decoder")
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(file)
-        for b in batches:
+        for b in bounded(batches):
             at = 0
             size = np.diff(b.column(1).offsets.to_numpy()).cumsum()
             while at < b.num_rows:  # as many rows as hold about 100,000 words
@@ -80,4 +81,4 @@ def encode_decode(df: DataFrame, file: str, id_col: str = "doc_id", text_col: st
                 at = end
 
     words = F.split(text_or_empty(text_col), f"{ASCII_SPACE}|{SIGN_AFTER_LETTER}")
-    return df.select(F.col(id_col), words.alias("words")).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, ids array<int>, decoded string")
+    return df.select(F.col(f"`{id_col}`"), words.alias("words")).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, ids array<int>, decoded string")

@@ -1,8 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Both steps are grouped minima and equi-joins over edges, so nothing is collected and a hub's edges meet only as a
-partial minimum. Each round is written to the shared folder, which cuts the lineage. Rounds grow with the logarithm
-of the longest path; each split of the edges is first thinned to a spanning forest of its own.
+Both steps are grouped minima and equi-joins over edges, so nothing is collected. A hub's edges meet as a partial
+minimum; the minima are written before they are joined, so that the join reads two plain shuffles, which Spark splits
+where a hub makes one partition large (or broadcasts, while the minima are small). Each round is written to the shared
+folder, which cuts the lineage, and the round before is deleted. Rounds grow with the logarithm of the longest path;
+each split of the edges is first thinned to a spanning forest of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 #: Most edges that one union-find of thinned() holds.
 FOREST = 500_000
@@ -65,13 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every neighbour above u joins the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "near")
+        large = store(both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         # small star: u and its neighbours below it join the smallest of them
-        low = large.where("a <> b").distinct()
-        least = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = store(small.where("a <> b").distinct(), "edges")
+        low = store(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        last, now = now, store(small.where("a <> b").distinct(), "edges")
+        discard(last, near, large, low)
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("d")).first()
         if tuple(found) == state:
             break

@@ -12,11 +12,20 @@ part's bound the parts on a grid are aligned first, then those at every offset.
 looked for as well, with its own edits. Texts are compared lower-cased, with every run of signs and white space as one
 space.
 
-Documents aren't shuffled. The index is broadcast; a benchmark over PART_CHARS is scanned in parts of that size, one
-after the other. Items under MIN_CHARS (normalised) match exactly and at word bounds only, so an item of one word matches each text that
+Hits are expanded in slices of at most SLICE postings: of positions (a band's hits stand within one target's length of each
+other), and where those of few positions are still too many, as of a passage that many items share, of targets. So a
+worker's memory doesn't depend on how often a passage stands in the benchmark or in a text, and no gram is left out.
+
+Documents aren't shuffled. Items are normalised and cut into overlapping pieces by Spark first, so that no item is too long
+for a part of the index; parts of PART_CHARS are broadcast and scanned one after the other. decontaminated() writes
+the rows that are left between parts, so that a worker holds one part at a time.
+
+Items under MIN_CHARS (normalised) match exactly and at word bounds only, so an item of one word matches each text that
 holds the word; where that isn't wanted, the caller leaves such items out. Null and empty items match nothing.
-Null and empty texts match nothing. Repeated rows give repeated matches; of items with equal ids each different
-text counts by itself. An empty table on either side gives no rows.
+Null and empty texts match nothing; long ones are read whole. All passages of an item in a text that don't overlap are found.
+Repeated rows give repeated matches; of items with equal ids each different text counts by itself, equal ones once. An
+empty table on either side gives no rows. Other columns, whatever their names, are left out by contaminated() and kept by
+decontaminated().
 """
 
 from __future__ import annotations
@@ -32,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, text_or_empty, type_of
+from .common import beside, bounded, discard, store, text_or_empty, type_of
 
 Q, EDITS, WINDOW, MIN_CHARS = 8, 0.1, 160, 40
-#: Most characters of a broadcast part of the benchmark, and of documents that are scanned at a time.
-PART_CHARS, CHUNK = 8_000_000, 1 << 19
+#: Most characters of a broadcast part of the benchmark (on average; pieces of items are PIECE at most), and of documents that are scanned at a time.
+PART_CHARS, PIECE, CHUNK = 8_000_000, 100_000, 1 << 19
+#: Most postings that are expanded at a time.
+SLICE = 1 << 19
 #: Bits of the table of hashes and of the tally; what is added to diagonals so that none is negative.
 SLOTS, TALLY, SHIFT = 22, 19, 1 << 20
 #: Zeros on either side of the text to align; most parts that are aligned at a time; half the step of the coarse offsets.
@@ -79,7 +90,7 @@ def gram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Targets (stretches of items) one after the other in code, each sought in parts of a length of its own; postings (target, its step, position in it) by hash."""
+    """Targets (stretches of items) one after the other in code, each sought in parts of a length of its own; postings (target, its step, position in it) by hash, then target; place is both as one number."""
 
     code: np.ndarray
     start: np.ndarray
@@ -93,6 +104,7 @@ class Index:
     target: np.ndarray
     offset: np.ndarray
     step: np.ndarray
+    place: np.ndarray
     flags: np.ndarray
     short: dict[str, list[int]]
 
@@ -134,30 +146,58 @@ def index_of(items: list[str | None], q: int = Q) -> Index:
     flags = np.zeros(1 << SLOTS, dtype=bool)
     flags[hashes >> np.uint64(64 - SLOTS)] = True
     target = np.searchsorted(start, where[order], side="right") - 1
-    return Index(flat, start, size, part, edits, part - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, np.r_[first, len(h)], target, where[order] - start[target], edits[target] + 1, flags, short)
+    first = np.r_[first, len(h)]
+    place = np.repeat(np.arange(len(hashes)), np.diff(first)) * len(size) + target
+    return Index(flat, start, size, part, edits, part - q + 1 - edits * q, np.array(owners, dtype=np.int64), hashes, first, target, where[order] - start[target], edits[target] + 1, place, flags, short)
 
 
-def candidates(code: np.ndarray, ix: Index, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """(target, lowest diagonal) of the bands that reach their bound; a band is 2 (edits + 1) diagonals wide."""
+def slices(pos: np.ndarray, row: np.ndarray, ix: Index, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int, int]]:
+    """First posting and number of each hit, for ranges of diagonals [low, high) and targets [first, last) that hold most postings at most, if one position and target do.
+
+    A range of diagonals has its hits at positions up to the longest target, and its band, behind.
+    """
+    reach = int(ix.size.max()) + 2 * int(ix.edits.max()) + 4
+    place = row * len(ix.size)  # postings are in order of (row, target)
+    todo = [(int(pos[0]) - reach, int(pos[-1]) + 1, 0, len(ix.size))] if len(pos) else []
+    while todo:
+        low, high, first, last = todo.pop()
+        a, b = np.searchsorted(pos, (low, high + reach))
+        if first == 0 and last == len(ix.size):
+            begin, end = ix.first[row[a:b]], ix.first[row[a:b] + 1]
+        else:
+            begin, end = np.searchsorted(ix.place, place[a:b] + first), np.searchsorted(ix.place, place[a:b] + last)
+        n = end - begin
+        if n.sum() <= most or (high - low <= reach and last - first == 1):
+            yield pos[a:b], begin, n, low, high, last
+        elif high - low > reach:
+            middle = (low + high) // 2
+            todo += [(middle, high, first, last), (low, middle, first, last)]
+        else:
+            middle = (first + last) // 2
+            todo += [(low, high, middle, last), (low, high, first, middle)]
+
+
+def candidates(code: np.ndarray, ix: Index, q: int = Q, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(target, lowest diagonal) of the bands that reach their bound, slice by slice; a band is 2 (edits + 1) diagonals wide."""
     h = gram_hashes(code, q)
     pos = np.flatnonzero(ix.flags[h >> np.uint64(64 - SLOTS)])
     row = np.searchsorted(ix.hashes, h[pos]).clip(max=len(ix.hashes) - 1)
     real = ix.hashes[row] == h[pos]
-    pos, row = pos[real], row[real]
-    n = ix.first[row + 1] - ix.first[row]
-    ends = np.cumsum(n)
-    post = np.repeat(ix.first[row] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    band = (np.repeat(pos, n) - ix.offset[post] + SHIFT) // ix.step[post]
-    key = (ix.target[post] << 32) | band
-    key = np.concatenate([key, key - 1])
-    with np.errstate(over="ignore"):
-        place = ((key.view(np.uint64) * MIX) >> np.uint64(64 - TALLY)).view(np.int64)
-    key = key[np.bincount(place, minlength=1 << TALLY)[place] >= ix.bound.min(initial=1)]  # a tally of slots first: it never counts too little
-    key, times = np.unique(key, return_counts=True)
-    target = key >> 32
-    good = times >= ix.bound[target]
-    target = target[good]
-    return target, (key[good] & 0xFFFFFFFF) * (ix.edits[target] + 1) - SHIFT
+    for at, begin, n, low, high, _ in slices(pos[real], row[real], ix, most):
+        ends = np.cumsum(n)
+        post = np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        band = (np.repeat(at, n) - ix.offset[post] + SHIFT) // ix.step[post]
+        key = (ix.target[post] << 32) | band
+        key = np.concatenate([key, key - 1])
+        with np.errstate(over="ignore"):
+            place = ((key.view(np.uint64) * MIX) >> np.uint64(64 - TALLY)).view(np.int64)
+        key = key[np.bincount(place, minlength=1 << TALLY)[place] >= ix.bound.min(initial=1)]  # a tally of slots first: it never counts too little
+        key, times = np.unique(key, return_counts=True)
+        target = key >> 32
+        diagonal = (key & 0xFFFFFFFF) * (ix.edits[target] + 1) - SHIFT
+        good = (times >= ix.bound[target]) & (diagonal >= low) & (diagonal < high)
+        if good.any():
+            yield target[good], diagonal[good]
 
 
 def align(code: np.ndarray, target: np.ndarray, offset: np.ndarray, low: np.ndarray, ix: Index, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -229,89 +269,115 @@ def exact(code: np.ndarray, ix: Index) -> Iterator[tuple[str, int, int]]:
             yield found, start, end
 
 
-def matches(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of the best passage of each item in each text (edits: the most of its parts); positions in the text, start give or take the edits."""
+def joined(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Passages (start, end, edits) of one item in one text: parts that overlap are one; edits are the most of its parts."""
+    found.sort()
+    start, end, edits = found[0]
+    for s, e, d in found[1:]:
+        if s < end:
+            end, edits = max(end, e), max(edits, d)
+        else:
+            yield start, end, edits
+            start, end, edits = s, e, d
+    yield start, end, edits
+
+
+def matches(texts: list[str], ix: Index, most: int = SLICE) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of the passages of each item in each text; positions in the text, start give or take the edits."""
     if not len(ix.size) and not ix.short:
         return []
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    gap = int(ix.edits.max(initial=0)) + 1  # no match reaches over so many signs that are in no item
     k = 0
     while k < len(texts):
         codes, places, owners, size = [np.zeros(1, np.uint32)], [np.zeros(1, np.int64)], [k], 1
         first = k
         while k < len(texts) and (size <= CHUNK or k == first):
             code, at = normalised(texts[k])
-            codes += [code, np.zeros(1, np.uint32)]
-            places += [at, np.zeros(1, np.int64)]
-            size += len(code) + 1
+            codes += [code, np.zeros(gap, np.uint32)]
+            places += [at, np.full(gap, at[-1] if len(at) else 0)]
+            size += len(code) + gap
             owners.append(size)
             k += 1
         code, place, ends = np.concatenate(codes), np.concatenate(places), np.array(owners[1:])
         for name, begin, end in exact(code, ix) if ix.short else ():
             text = int(np.searchsorted(ends, begin, side="right"))
             for item in ix.short[name]:
-                found.setdefault((first + text, item), (0, int(place[begin]), int(place[end - 1]) + 1))
+                found.setdefault((first + text, item), []).append((int(place[begin]), int(place[end - 1]) + 1, 0))
         if len(code) < Q or not len(ix.size):
             continue
-        targets, lows = candidates(code, ix)
-        for target, edits, end in aligned(code, targets, lows, ix):
-            last = int(min(max(end - 1, 0), len(code) - 1))
-            text = int(np.searchsorted(ends, last, side="right"))
-            begin = max(int(last - ix.part[target] + 1), int(ends[text - 1]) if text else 1)
-            key = (first + text, int(ix.item[target]))
-            new = (edits, int(place[begin]), int(place[last]) + 1)
-            old = found.get(key)
-            if old and new[1] <= old[2] and new[2] >= old[1]:  # parts that overlap are one passage
-                found[key] = (max(old[0], new[0]), min(old[1], new[1]), max(old[2], new[2]))
-            elif not old or new < old:
-                found[key] = new
-    return [(t, i, s, e, d) for (t, i), (d, s, e) in sorted(found.items())]
+        for targets, lows in candidates(code, ix, most=most):
+            for target, edits, end in aligned(code, targets, lows, ix):
+                last = int(min(max(end - 1, 0), len(code) - 1))
+                text = int(np.searchsorted(ends, last, side="right"))
+                begin = max(int(last - ix.part[target] + 1), int(ends[text - 1]) if text else 1)
+                found.setdefault((first + text, int(ix.item[target])), []).append((int(place[begin]), int(place[last]) + 1, edits))
+    return [(t, i, *passage) for (t, i), parts in sorted(found.items()) for passage in joined(parts)]
+
+
+def pieces(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """i, t: items normalised, in pieces of PIECE characters that overlap by two WINDOWs, so that each part that is looked for is whole in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            row, made = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                code = normalised(text)[0]
+                for at in range(0, max(len(code) - 2 * WINDOW, 1), PIECE - 2 * WINDOW):
+                    row.append(k)
+                    made.append(as_text(code[at : at + PIECE]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(made, pa.string())], names=["i", "t"])
+
+    return benchmark.select(F.col(f"`{item_col}`").alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"i {type_of(benchmark, item_col)}, t string").distinct()
 
 
 def parts_of(benchmark: DataFrame, item_col: str, text_col: str, part_chars: int = PART_CHARS) -> Iterator[tuple[list, Index]]:
     """The benchmark's ids and index, in parts of bounded size."""
-    text = text_or_empty(text_col)
-    total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    cut = store(pieces(benchmark, item_col, text_col), "pieces")
+    total = cut.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // part_chars))
     for k in range(n):
-        t = benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k).select(F.col(item_col).alias("i"), text.alias("t")).distinct().orderBy("i", "t").toArrow()
+        t = cut.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").toArrow()
         yield t["i"].to_pylist(), index_of(t["t"].to_pylist())
+    discard(cut)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
-    """id, item, start long, end long, edits long: for every row of df and benchmark id that matches, its best match."""
-    bounded_batches(df.sparkSession)
+    """id, item, start long, end long, edits long: for every row of df and benchmark id that matches, its passages (those of a long item's pieces by themselves)."""
     schema = f"`{id_col}` {type_of(df, id_col)}, `{item_col}` {type_of(benchmark, item_col)}, start long, end long, edits long"
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for ids, ix in parts_of(benchmark, item_col, item_text_col, part_chars):
-        shared = df.sparkSession.sparkContext.broadcast((ids, ix))
+        shared = df.sparkSession.sparkContext.broadcast((ids, ix))  # part_chars bounds it
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, ix = shared.value
-            for b in batches:
+            for b in bounded(batches):
                 found = matches(b.column(1).to_pylist(), ix)
                 if found:
                     row, item, start, end, edits = zip(*found)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([ids[i] for i in item], item_type), *(pa.array(x, pa.int64()) for x in (start, end, edits))], names=[id_col, item_col, "start", "end", "edits"])
 
-        now = df.select(F.col(id_col), text_or_empty(text_col).alias("_text")).mapInArrow(run, schema)
+        now = df.select(F.col(f"`{id_col}`"), text_or_empty(text_col).alias("_text")).mapInArrow(run, schema)
         out = now if out is None else out.unionByName(now)
     return out
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """df without the rows that hold a benchmark text."""
-    bounded_batches(df.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    at = df.columns.index(text_col)
-    for _, ix in parts_of(benchmark, item_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(ix)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, dtype=bool)
-                keep[[m[0] for m in matches([t or "" for t in b.column(at).to_pylist()], shared.value)]] = False
-                yield b.filter(pa.array(keep))
-
-        df = df.mapInArrow(run, schema)
+    stored = None
+    for k, (_, ix) in enumerate(parts_of(benchmark, item_col, item_text_col, part_chars)):
+        shared = df.sparkSession.sparkContext.broadcast(ix)  # part_chars bounds it
+
+        def run(texts: list[str], shared=shared) -> list[pa.Array]:
+            clean = np.ones(len(texts), dtype=bool)
+            clean[[m[0] for m in matches(texts, shared.value)]] = False
+            return [pa.array(clean)]
+
+        if k:
+            last, stored = stored, store(df, "clean")
+            df = stored
+            if last is not None:
+                discard(last)
+        df = beside(df, text_col, run, "clean boolean").where("clean").select("row.*")
     return df

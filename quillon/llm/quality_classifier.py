@@ -4,29 +4,33 @@ P(grade <= k | x) = sigmoid(threshold_k - w.x): one weight vector over hashed te
 the K - 1 thresholds are kept in order by their parameters (the first, then the logarithms of the steps). A row gets
 its expected grade and the tail probability P(grade >= k), by which rows are selected.
 
-Grades are the distinct values of the rating column, in order; two of them are the least (one threshold).
-The fit reads MAX_ROWS rated rows at most (the smallest by a hash of the id, so a fixed sample at any size) and runs
-on the driver over their sparse features; scoring is one Arrow pass over all rows with the weights as a broadcast of
-fixed size (2**BITS floats).
+Grades are the distinct values of the rating column, in order; two of them are the least that tell anything apart (one
+threshold). The fit reads MAX_ROWS rated rows at most (the smallest by a hash of the id, so a fixed sample at any size)
+and runs on the driver over their sparse features; scoring is one Arrow pass over all rows with the weights as a
+broadcast of fixed size (2**BITS floats).
 
 Features are weighted by share, so a long text counts no more than a short one: letters' shape of each word with its
-signs, its last two letters, and whether it repeats the word before. Null and empty texts have the bias alone.
-Ratings that are null are left out; of several ratings of an id the smallest is taken. Without rated rows, or with
-one grade, the fit fails with ValueError. Repeated rows stay; null ids stay null.
+signs, its last two letters, its length, whether it repeats the word before, and how many words were there before. They
+are made of whole words of whole texts. Null and empty texts have the bias alone, so equal texts have equal scores.
+Ratings that are null are left out; of several ratings of an id the smallest is taken, of several texts the smallest.
+Without rated rows, or with one grade, nothing can be told apart: every row gets that grade (null without any) and no tail
+probabilities. Repeated rows stay; null ids stay null; an empty table gives no rows. Other columns may have any names;
+beside() keeps them.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, text_or_empty, type_of
+from .common import beside, bounded, labelled_texts, map_batches, text_or_empty, type_of
 
 BITS, MAX_ROWS, STEPS, RATE, RIDGE = 12, 8192, 300, 0.3, 1e-3
 
@@ -38,21 +42,24 @@ def slot(name: str) -> int:
 REPEAT, ALIKE, EMPTY = map(slot, ("repeat", "alike", "empty"))
 #: Words that are looked up at a time.
 STRETCH = 100_000
-SIGNS = ".,;:!?%$&*#|\"'()"
+
+
+LETTERS = re.compile(r"[^\W\d_]+|\d+|(.)\1+", re.S)
+
+
+def kind_of(run: re.Match) -> str:
+    """A run of letters as the kinds of its cases in turn, digits as 9, equal signs as one."""
+    text = run[0]
+    if run[1] is not None:
+        return run[1]
+    if not text[0].isalpha():
+        return "9"
+    return "a" if text.islower() else "A" if text.isupper() else re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" for c in text))
 
 
 def shape(word: str) -> str:
     """Runs of upper-case letters, other letters and digits as A, a and 9; other characters as they are, runs of one as one."""
-    core = word.rstrip(SIGNS)
-    if core.isalpha():
-        made = "a" if core.islower() else "A" if core.isupper() else "Aa" if core.istitle() else "mixed"
-        return made + word[len(core) :][:3]
-    made = ""
-    for c in word[:64]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if made[-1:] != kind:
-            made += kind
-    return made[:6]
+    return LETTERS.sub(kind_of, word)
 
 
 class Features:
@@ -138,46 +145,53 @@ def fit(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray,
 
 def train(df: DataFrame, ratings: DataFrame, rating_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Ordinal:
     """Fit on the texts of df that ratings (id, rating) rates."""
-    rated = ratings.where(F.col(id_col).isNotNull() & F.col(rating_col).isNotNull()).groupBy(id_col).agg(F.min(rating_col).cast("double").alias("rating"))
-    sample = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)  # bounded, so it may be broadcast
-    joined = df.select(F.col(id_col), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), id_col).select("text", "rating")
+    joined = labelled_texts(df, ratings, F.min(f"`{rating_col}`").cast("double"), max_rows, id_col, text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = list(map(Features().of, b.column(0).to_pylist()))
         return pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["rating", "slots", "vals"])
 
-    # df may repeat ids, so the rows are bounded once more
-    t = map_batches(joined, run, "rating double, slots array<int>, vals array<float>").limit(2 * max_rows).toArrow()
-    rating = t["rating"].to_numpy()
-    grades, y = np.unique(rating, return_inverse=True)
+    t = map_batches(joined, run, "rating double, slots array<int>, vals array<float>").toArrow()  # max_rows rows at most
+    grades, y = np.unique(t["rating"].to_numpy(), return_inverse=True)
     if len(grades) < 2:
-        raise ValueError(f"ratings of two grades at least are needed, {len(grades)} found")
+        return Ordinal(tuple(grades.tolist()), np.zeros(1 << BITS, dtype=np.float32), np.empty(0))
     lists = [c.combine_chunks() for c in (t["slots"], t["vals"])]
     rows = np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy()))
-    return fit(rows, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), y, tuple(grades))
+    return fit(rows, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), y, tuple(grades.tolist()))
 
 
-def score(df: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id, expected_grade double, tail array<double> (P(grade >= k) from the second grade up) of every row; with keep, all columns of df and _tail."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.weights, model.thresholds, model.grades))
-    bounded_batches(spark)
-    names = df.columns
+def scores(model: Ordinal, table: Features, texts: list[str]) -> list[pa.Array]:
+    """Expected grades and tails of texts."""
+    found = [table.of(t) for t in texts]
+    tails = model.tails(np.array([float(v @ model.weights[s]) for s, v in found]).reshape(-1))
+    expected = pa.array(model.grades[0] + tails @ np.diff(model.grades)) if model.grades else pa.nulls(len(texts), pa.float64())
+    return [expected, pa.array(list(tails), pa.list_(pa.float64()))]
+
+
+def score(df: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, expected_grade double, tail array<double> (P(grade >= k) from the second grade up) of every row."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, thresholds, grades = shared.value
-        own, table = Ordinal(grades, w, thresholds), Features()
-        for b in batches:
-            texts = b.column(names.index(text_col) if keep else 1).to_pylist()
-            found = [table.of(t or "") for t in texts]
-            tails = own.tails(np.array([float(v @ w[s]) for s, v in found]).reshape(-1))
-            tail = pa.array(list(tails), pa.list_(pa.float64()))
-            if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, tail], names=[*names, "_tail"])
-            else:
-                expected = grades[0] + tails @ np.diff(grades)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(expected), tail], names=[id_col, "expected_grade", "tail"])
-
-    if keep:
-        return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _tail array<double>")
-    return df.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, expected_grade double, tail array<double>")
+        table = Features()
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), *scores(shared.value, table, b.column(1).to_pylist())], names=[id_col, "expected_grade", "tail"])
+
+    return df.select(F.col(f"`{id_col}`"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {type_of(df, id_col)}, expected_grade double, tail array<double>")
+
+
+def selected(df: DataFrame, model: Ordinal, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df whose probability of a grade over the lowest is least or more; all rows if the model tells no grades apart."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size
+    table: list[Features] = []  # one in each worker
+
+    def run(texts: list[str]) -> list[pa.Array]:
+        if not table:
+            table.append(Features())
+        return scores(shared.value, table[0], texts)[1:]
+
+    return beside(df, text_col, run, "tail array<double>").where(likely("tail", least)).select("row.*")
+
+
+def likely(tail: str, least: float) -> Column:
+    return F.coalesce(F.try_element_at(tail, F.lit(1)), F.lit(1.0)) >= least

@@ -5,7 +5,9 @@ once over them and stores a bit for each failure beside the measurements. Polici
 to the stored bits without reading a text again, and ablations() counts with bitwise aggregation what each rule
 rejects alone or with others. Nothing is shuffled but one row of counts for each task.
 
-A null or blank text has no words and fails too_few_words. Repeated rows stay; null ids stay null.
+A null or blank text has no words and fails too_few_words. Long texts are read whole. Equal texts have equal bits; repeated
+rows stay and count each; null ids stay null. An empty table gives an empty ledger, and ablations of zeros. Other columns,
+whatever their names, are left out of the ledger; filtered() keeps them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty, type_of
+from .common import beside, map_batches, text_or_empty, type_of
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha", "n_distinct")
@@ -84,7 +86,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         found = np.array([measures(t) for t in b.column(1).to_pylist()], dtype=np.int64)
         return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found.T)], names=[id_col, *MEASURES])
 
-    return map_batches(df.select(F.col(id_col), text_or_empty(text_col).alias("text")), run, f"`{id_col}` {type_of(df, id_col)}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return map_batches(df.select(F.col(f"`{id_col}`"), text_or_empty(text_col).alias("text")), run, f"`{id_col}` {type_of(df, id_col)}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def ledger(measured: DataFrame) -> DataFrame:
@@ -97,16 +99,11 @@ def ledger(measured: DataFrame) -> DataFrame:
 
 def filtered(df: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of df that pass a version, in one pass: the measurements come beside the row and go again."""
-    names = df.columns
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([measures(t or "") for t in b.column(names.index(text_col)).to_pylist()], dtype=np.int64)
-        return pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, found.T)], names=[*names, *(f"_m_{m}" for m in MEASURES)])
+    def run(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(m) for m in np.array([measures(t) for t in texts], dtype=np.int64).T]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    measured = map_batches(df, run, schema + ", " + ", ".join(f"_m_{m} long" for m in MEASURES))
-    own = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *[F.col(f"_m_{m}").alias(m) for m in MEASURES]]
-    return ledger(measured.select(*own)).where(passes(version)).select("_row.*")
+    return ledger(beside(df, text_col, run, ", ".join(f"{m} long" for m in MEASURES))).where(passes(version)).select("row.*")
 
 
 def passes(version: str = "v1", bits: str = "fail_bits") -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, type_of
+from .common import bounded, text_or_empty, type_of
 from .pieces import SIGN_AFTER_LETTER, PieceTable, load
 
 #: Before a blank or line end that follows a visible ASCII or Latin character no pretoken goes on, no character composes, and no special token stands.
@@ -48,12 +48,11 @@ def whole_lengths(texts: list[str], file: str) -> list[int]:
 
 def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes long (UTF-8), n_tokens long, for every row of df."""
-    bounded_batches(df.sparkSession)
     names = [id_col, "n_bytes", "n_tokens"]
 
     def by_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(file)
-        for b in batches:
+        for b in bounded(batches):
             counts = np.diff(b.column(2).offsets.to_numpy())
             total = np.zeros(b.num_rows, dtype=np.int64)
             of = np.repeat(np.arange(b.num_rows), counts)
@@ -65,9 +64,9 @@ def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], names=names)
 
     def by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole_lengths(b.column(2).to_pylist(), file), type=pa.int64())], names=names)
 
     text, split = text_or_empty(text_col), may_split(file)
-    source = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), (F.split(text, SAFE) if split else text).alias("text"))
+    source = df.select(F.col(f"`{id_col}`"), F.octet_length(text).cast("long").alias("n_bytes"), (F.split(text, SAFE) if split else text).alias("text"))
     return source.mapInArrow(by_pieces if split else by_texts, f"`{id_col}` {type_of(df, id_col)}, n_bytes long, n_tokens long")

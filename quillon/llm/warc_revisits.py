@@ -8,8 +8,10 @@ The as-of join is a window by (canonical URL, time bucket) with a carry between
 captures is dealt to many tasks: buckets are quantiles of the captures' times; the carry is one row a bucket and URL.
 Payloads aren't shuffled: a resolved revisit names its response, to whose payload payloads() joins.
 
-Order is (ts, record id); the id decides ties, and rows that are equal in both never resolve to one another. A null or
-unusable URL matches nothing, null times come first, null headers count as none. Outcomes: full, resolved, mismatch
+Order is (ts, record id); the id decides ties, and rows that are equal in both never resolve to one another: revisits
+stand before full responses of equal (ts, id), and of several such responses the one with the largest digest, then hash
+of its headers, is the latest. Repeated rows stay. A null or unusable URL matches nothing, null times come first, null headers count
+as none. Long headers are kept whole. Outcomes: full, resolved, mismatch
 (validators differ), unmatched (no earlier full response). An empty table gives no rows; other columns are left out.
 """
 
@@ -72,11 +74,12 @@ def resolve(records: DataFrame, id_col: str = "record_id", buckets: int = BUCKET
     )
     response = F.struct(F.col("id").alias("id"), "headers", "digest")
     own = F.when(F.col("full"), response)
-    order = [F.col("ts").asc_nulls_first(), F.col("id").asc_nulls_first()]
+    headers_hash = F.xxhash64(F.transform("headers", lambda h: F.concat_ws(":", h["name"], h["value"])))
+    order = [F.col("ts").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("full").asc(), F.col("digest").asc_nulls_first(), headers_hash]
     before = Window.partitionBy("key", "bucket").orderBy(*order)
     local = F.last(own, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("local", local)
-    last = rows.where("full").groupBy("key", "bucket").agg(F.max_by(response, F.struct("ts", "id")).alias("last"))
+    last = rows.where("full").groupBy("key", "bucket").agg(F.max_by(response, F.struct("ts", "id", "digest", headers_hash.alias("h"))).alias("last"))
     # every bucket of a key takes the last response of the buckets before it
     seen = rows.select("key", "bucket").distinct().join(last, ["key", "bucket"], "left")
     over = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

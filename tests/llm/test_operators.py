@@ -84,7 +84,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-def classes(prints: dict) -> dict:
+def classes(prints: dict, most: int = 4) -> dict:
     """Smallest id reachable over links of 4 bits, by loops."""
     ids, up = sorted(prints), {i: i for i in prints}
 
@@ -94,7 +94,7 @@ def classes(prints: dict) -> dict:
         return i
 
     for a, b in combinations(ids, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 4:
+        if (prints[a] ^ prints[b]).bit_count() <= most:
             x, y = sorted((top(a), top(b)))
             up[y] = x
     return {i: top(i) for i in ids}
@@ -103,6 +103,22 @@ def classes(prints: dict) -> dict:
 def test_triples_are_within_every_four():
     found = simhash.triples()
     assert len(set(found)) == 20 and all(any(set(t) <= set(f) for t in found) for f in combinations(range(8), 4))
+    for n, shared in ((8, 1), (8, 2), (8, 3), (8, 4), (10, 6), (12, 6), (9, 8), (8, 8)):
+        assert all(any(set(t) <= set(f) for t in simhash.covering(n, shared)) for f in combinations(range(n), shared))
+
+
+def test_splits_keep_links_until_lists_are_small():
+    """Down every path of masks: a pair within the distance shares one key of each step that it came down."""
+    r = random.Random(21)
+    for most in range(7):
+        for _ in range(40):
+            x, mask = sum(1 << k for k in r.sample(range(64), most)), 0
+            while nexts := simhash.children(mask, most):
+                assert all(n & mask == mask and n.bit_count() > mask.bit_count() for n in nexts)
+                same = [n for n in nexts if not x & n]
+                assert same
+                mask = r.choice(same)
+            assert 64 - mask.bit_count() <= simhash.LEAST_FREE
 
 
 def test_simhash(spark):
@@ -124,8 +140,8 @@ def test_simhash(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2, 5, 2048])
-def test_split_lists_lose_no_link(spark, limit):
+@pytest.mark.parametrize(("limit", "most"), [(30, 4), (2048, 4), (60, 5), (2048, 6)])
+def test_split_lists_lose_no_link(spark, limit, most):
     """Chains and clouds around few centres, so that lists are split at every step."""
     r = random.Random(4)
     prints = {0: 0, 1: (1 << 64) - 1}
@@ -137,9 +153,9 @@ def test_split_lists_lose_no_link(spark, limit):
             prints[len(prints)] = now
             prints[len(prints)] = centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    nodes = spark.createDataFrame([(signed(v),) for v in set(prints.values())], "fp long")
-    roots = {row.node: row.root for row in components.components(simhash.links(nodes, limit)).collect()}
-    want = classes(prints)
+    nodes = spark.createDataFrame([(signed(v), 0) for v in set(prints.values())], "fp long, also long")
+    roots = {row.node: row.root for row in components.components(simhash.links(nodes, limit, most)).collect()}
+    want = classes(prints, most)
     group = {}
     for i, v in prints.items():
         group.setdefault(want[i], set()).add(roots.get(signed(v), signed(v)))
@@ -170,6 +186,25 @@ def test_one_of_each(spark):
     assert kept.columns == df.columns and sorted(kept.select("doc_id").collect(), key=str) == [(0,), (3,), (None,)]
     clean = df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     assert sorted(r.doc_id for r in simhash.one_of_each(clean).collect()) == [0, 3]
+    # ids that are text and repeat, rows that are equal, names that the operator uses
+    rows = [("b", "one two three four", "x", 1), ("a", "one two three four", "y", 2), ("a", "one two three four", "y", 2), ("a", "something else is here", "z", 3), (None, "something else is here", "z", 4), ("c", None, "n", 5), (None, "", "n", 6)]
+    odd = spark.createDataFrame(rows, "_id string, _fp string, rank string, hash int")
+    assert sorted(map(tuple, simhash.one_of_each(odd, "_id", "_fp").collect())) == [("a", "one two three four", "y", 2), ("a", "something else is here", "z", 3), ("c", None, "n", 5)]
+    assert sorted(x.component_id for x in simhash.near_duplicates(odd, "_id", "_fp").collect()) == ["a"] * 5 + ["c"] * 2
+    assert simhash.one_of_each(odd.limit(0), "_id", "_fp").count() == 0
+
+
+def test_one_of_each_finds_copies_of_similarity_over_four_fifths(spark):
+    """Sets of five-word shingles of all pairs, by loops; texts under 0.3 stay apart."""
+    folder = "/root/testdata/sf0.01"
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sets = {i: set(simhash.shingles(w, 5).tolist()) for i, t in texts.items() if (w := simhash.words_of(t))}
+    kept = {x.doc_id for x in simhash.one_of_each(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    like = {i: [j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    copies = [i for i in sets if any(j < i for j in like[i])]
+    assert np.mean([i not in kept for i in copies]) >= 0.9 and len(copies) > 20
+    for i in sets.keys() - kept:
+        assert any(len(sets[i] & sets[j]) >= 0.3 * len(sets[i] | sets[j]) for j in sets if j != i)
 
 
 def plain_measures(text):
@@ -228,10 +263,40 @@ def test_ordinal_fit_orders_grades(spark):
     assert np.mean([abs(rows[i].expected_grade - grades[i]) for i in held]) < 0.6
     assert all(list(x.tail) == sorted(x.tail, reverse=True) for x in rows.values())
     assert quality_classifier.score(none(spark), model).count() == 0
-    kept = quality_classifier.score(table(spark, odd_texts(20, 8)), model, keep=True)
-    assert kept.columns == [*df.columns, "_tail"] and kept.count() == 29
-    with pytest.raises(ValueError):
-        quality_classifier.train(df, rated.where("rating = 1"), "rating")
+    odd = table(spark, odd_texts(20, 8)).withColumnsRenamed({"fp": "tail", "ids": "row"})
+    kept = quality_classifier.selected(odd, model, 0.5)
+    tails = {x.doc_id: x.tail[0] for x in quality_classifier.score(odd, model).collect()}
+    assert kept.columns == odd.columns and all(tails[x.doc_id] >= 0.5 for x in kept.collect()) and kept.count() == odd.count() - sum(v < 0.5 for k, v in tails.items()) - (tails[0] < 0.5)
+    for some in (rated.where("rating = 1"), rated.limit(0)):
+        one = quality_classifier.train(df, some, "rating")
+        assert quality_classifier.selected(odd, one, 0.5).count() == odd.count() and not quality_classifier.score(odd, one).first().tail
+
+
+def test_features_read_whole_words():
+    f = lambda t: {int(k): float(v) for k, v in zip(*quality_classifier.Features().of(t))}
+    assert quality_classifier.shape("Ab9--x") == "Aa9-a" and quality_classifier.shape("wordWORD!!!") == "aA!" and quality_classifier.shape("a1" * 200) == "a9" * 200
+    assert quality_classifier.shape("x" * 100 + "%") == "a%" and f("x" * 100 + "%") != f("x" * 100) and f("-1" * 40) != f("-1" * 39)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Trained on four fifths of the labels of a sample table."""
+    import zlib
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = {x.doc_id: x.quality for x in labels.collect()}
+    held = {i for i in known if zlib.crc32(str(i).encode()) % 5 == 0}
+    model = quality_classifier.train(docs, labels.where(~F.col("doc_id").isin(list(held))), "quality")
+    rows = {x.doc_id: x.tail[0] >= 0.5 for x in quality_classifier.score(docs, model).collect() if x.doc_id in held}
+    assert np.mean([rows[i] == (known[i] == 1) for i in rows]) >= 0.95 and len(rows) > 50
+
+
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()), "toxic")
+    rows = toxicity.score(docs, model).join(labels.where(toxicity.held_out()), "doc_id").collect()
+    assert np.mean([x.score >= 0.5 for x in rows if x.toxic]) >= 0.85 and np.mean([x.score >= 0.5 for x in rows if not x.toxic]) <= 0.01
 
 
 @pytest.mark.parametrize("n", [1, 99_999, 100_000, 100_001, 250_000])
@@ -250,23 +315,61 @@ def test_features_count_over_the_whole_text(n):
     assert got == {int(k): pytest.approx(np.sqrt(want[k] / n), rel=1e-6) for k in np.flatnonzero(want)}
 
 
+def clause_kinds(m, text):
+    return {toxicity.ALL[k]: int(n) for k, n in enumerate(m.counts(text)) if n}
+
+
 def test_toxicity_grammar():
     m = toxicity.Model(toxicity.INSULTS, toxicity.OWN, toxicity.BASE)
-    kind = lambda t: [e for e, n in zip(toxicity.EVENTS, m.counts(t)) if n]
-    assert kind("you are an idiot") == ["insult_target"] and kind("what a moron") == ["insult"] and kind("idiot, you.") == ["insult_target"]
-    assert kind("he is not an idiot") == ["negated"] and kind("they said idiot. fine") == ["reported"]
-    assert kind("we will kill you!") == ["threat_target"] and kind("kill the lights") == ["threat"] and kind("idiotic weather") == [] and kind("") == []
-    assert kind("moron. " * 3) == ["insult"] and m.counts("moron. " * 3)[0] == 3
-    assert m.counts("x " * 30_000 + "idiot " + "y " * 30_000).sum() == 1
+    kind = lambda t: list(clause_kinds(m, t))
+    assert kind("you are an idiot") == [("insult", "target")] and kind("what a moron") == [("insult",)] and kind("idiot, you.") == [("insult", "target")]
+    assert kind("he is not an idiot") == [("insult", "negated")] and kind("it was said idiot. fine") == [("insult", "reported")]
+    assert kind("we will kill you!") == [("threat", "target")] and kind("kill the lights") == [("threat",)] and kind("idiotic weather") == [] and kind("") == []
+    assert kind("now shut up and die") == [("insult",)] and kind("go jump off a bridge, you waste of space") == [("insult", "target")] and kind("a piece of cake in space") == []
+    assert clause_kinds(m, "moron. " * 3) == {("insult",): 3}
+    assert clause_kinds(m, "x " * 30_000 + "idiot " + "y " * 30_000) == {("insult",): 1}
+    score = lambda t: float(m.score(m.counts(t)))
+    assert score("he is not an idiot. " * 20) < score("he is not an idiot.") < score("") < score("it was said: idiot") < score("what an idiot") < score("you idiot")
+
+
+@pytest.mark.parametrize("n", [10, 4000, 100_000])
+def test_clauses_of_any_length_are_read_whole(n):
+    m = toxicity.Model(toxicity.INSULTS, toxicity.OWN, toxicity.BASE)
+    assert list(clause_kinds(m, "they said " + "x " * n + "you idiot")) == [("insult", "reported", "target")]
+    assert list(clause_kinds(m, "x " * n + "you waste of space" + " y" * n)) == [("insult", "target")]
 
 
 def test_composition_is_running_one_after_the_other():
+    """Outputs and weights along the path of the composed machine against those of the transducers by themselves."""
     r = random.Random(9)
-    a, b = toxicity.negation(), toxicity.reported()
-    both = toxicity.compose(a, b, toxicity.CLASSES)
-    for _ in range(200):
-        s = [r.choice(toxicity.CLASSES) for _ in range(r.randint(0, 12))]
-        assert both.run(s) == b.run(a.run(s))
+    both = toxicity.grammar()
+    words = ["other", "insult_word", "threat_word", "target", "negation", "report", "break", "you", "waste", "of", "space", "shut", "up", "and", "die", "jump", "off", "a", "bridge"]
+    for _ in range(400):
+        s = [r.choice(words) for _ in range(r.randint(0, 14))]
+        now, names = list(s), [[] for _ in s]
+        for part in both.parts:
+            state = part.start
+            for k, x in enumerate(now):
+                state, now[k], more = part.read(state, x)
+                names[k] += more
+        assert both.run(s) == [(o, tuple(n)) for o, n in zip(now, names)]
+        m = toxicity.Model(toxicity.INSULTS, np.array([3.0, 2.0, 1.0, 0.5, 0.25]), 0.0)
+        own = {"insult": 3.0, "threat": 2.0, "target": 1.0, "reported": -0.5, "negated": -0.25 - 3.0 - 2.0 - 1.0}
+        sums = [sum(own[x] for x in n) for n in names if n]
+        kinds = [toxicity.ORDER[frozenset(n)] for n in names if n]
+        assert np.allclose([m.kinds[k] for k in kinds], sums)
+
+
+def test_joint_fit_is_the_constrained_optimum():
+    r = np.random.default_rng(2)
+    counts = r.poisson(0.4, size=(500, len(toxicity.ALL))).astype(float)
+    y = (r.random(500) < 0.3).astype(int)
+    w, bias = toxicity.fit(counts, y)
+    x = np.column_stack([np.log2(1 + counts) @ toxicity.SHARES, np.ones(500)])
+    own, pull = np.r_[toxicity.OWN, toxicity.BASE], np.r_[np.full(5, 2.0), 0.1]
+    v = np.r_[w, bias]
+    g = x.T @ (0.5 * (1 + np.tanh(x @ v / 2)) - y) + pull * (v - own)
+    assert (w >= 0).all() and np.allclose(g[v > 0], 0, atol=1e-4) and (g[:-1][w == 0] >= -1e-6).all() and abs(g[-1]) < 1e-4
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -286,6 +389,8 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {"zzorg", "qqlump"} <= model.insults
     rows = {x.doc_id: x.score for x in toxicity.score(df, model).collect()}
     assert all((rows[i] >= 0.5) == bool(t) for i, t in enumerate(toxic)) and len(rows) == 301
+    repeated = toxicity.train(df.unionByName(df).repartition(7), labels.where(~toxicity.held_out()), "toxic")
+    assert repeated.insults == model.insults and np.allclose(repeated.weights, model.weights)
     assert toxicity.score(none(spark), model).count() == 0
     import zlib
 
@@ -304,6 +409,9 @@ def test_bloom_cascade_is_exact(spark):
     got = c.listed(keys[["h0", "h1"]].to_numpy().view(np.uint64))
     assert {h for h, x in zip(keys.host, got) if x} == listed
     assert url_filter.build(frame(universe), frame([]), "host").levels == []
+    sizes = [sum(len(b) for b, _ in url_filter.build(frame([f"g{i}.example" for i in range(n)]), frame([f"g{i}.example" for i in range(300)]), "host").levels) for n in (3000, 30_000)]
+    assert sizes[1] < 2 * sizes[0]  # levels grow with the list, hardly with the universe
+    assert url_filter.build(frame(universe), frame(listed), "host", max_bytes=100) is None
 
 
 def test_url_filter(spark):
@@ -316,8 +424,9 @@ def test_url_filter(spark):
     by = {x.page_id: x for x in rows}
     assert (by[0].host, by[0].path, by[0].rule) == ("www.a.org", "/x/1", "a.org/x/") and (by[3].host, by[3].path, by[3].rule) == ("bad.net", "", None) and by[8].host == ""
     assert url_filter.judge(df.limit(0), rules, spark.createDataFrame([], "host string")).count() == 0
-    joined = url_filter.blocked_by_join(df.select(url_filter.host_of(F.col("url")).alias("host")), spark.createDataFrame([("bad.net",)], "host string"))
-    assert {x.host for x in joined.where("blocked").collect()} == {"bad.net", "sub.bad.net"}
+    bad = spark.createDataFrame([("BAD.net",), (None,), ("",), ("bad.NET",)], "host string")
+    for most in (url_filter.MAX_BYTES, 10):  # by the cascade, and by the join where it would be too large
+        assert sorted(url_filter.judge(df, rules, bad, max_bytes=most).collect(), key=str) == sorted(rows, key=str)
 
 
 def edited(text, n, r):
@@ -402,6 +511,46 @@ def test_decontamination(spark):
     assert decontamination.contaminated(none(spark), bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_gives_all_passages_that_are_apart():
+    r = random.Random(17)
+    prose = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    item, tiny = prose(120), "so it is"
+    doc = prose(200) + item + prose(300) + item + prose(50) + item
+    found = decontamination.matches([doc, f"{tiny}. and {tiny}"], decontamination.index_of([item, tiny]))
+    starts = [s for t, i, s, e, d in found if (t, i) == (0, 0)]
+    assert len(starts) == 3 and all(abs(x - y) <= 12 for x, y in zip(starts, (200, 620, 790))) and [s for t, i, s, *_ in found if i == 1] == [0, 14]
+
+
+def test_common_passages_are_expanded_in_slices():
+    """Many items share a passage that a text holds many times: the same matches for any size of slices, and each copy is found."""
+    r = random.Random(18)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n)).strip()
+    shared = prose(200)
+    ix = decontamination.index_of([f"{prose(60)} {shared} {prose(60)}" for _ in range(40)])
+    text = " ".join([shared] * 12)
+    whole = decontamination.matches([text], ix)
+    assert len(whole) == 40 * 12 and whole == decontamination.matches([text], ix, most=500) == decontamination.matches([text], ix, most=20_000)
+    norm = decontamination.normalised(text)[0]
+    h = decontamination.gram_hashes(norm)
+    pos = np.flatnonzero(np.isin(h, ix.hashes))
+    row = np.searchsorted(ix.hashes, h[pos])
+    sizes = [int(n.sum()) for _, _, n, *_ in decontamination.slices(pos, row, ix, 20_000)]
+    assert max(sizes) <= 20_000 and len(sizes) > 10
+
+
+def test_long_items_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 1000)
+    r = random.Random(19)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(5000))
+    bench = spark.createDataFrame([("long", item)], "item_id string, text string")
+    texts = [item[at : at + 170] for at in range(0, 4800, 97)]
+    made = [x.t for x in decontamination.pieces(bench, "item_id", "text").collect()]
+    assert max(map(len, made)) <= 1000 and all(any(t in m for m in made) for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert decontamination.contaminated(df, bench, part_chars=2000).select("doc_id").distinct().count() == len(texts)
+    assert decontamination.decontaminated(df, bench, part_chars=2000).count() == 0
+
+
 def test_sum_product_against_all_labellings():
     pages = ['<div class="ad"><p>a</p></div><main><p>b</p></main>', "<ul><li>x<li>y</ul>"]
     r = np.random.default_rng(1)
@@ -419,17 +568,49 @@ def test_sum_product_against_all_labellings():
         assert np.allclose(html_extraction.sum_product(f, m)[0][:, 1], one / total)
 
 
-def test_html_held_out_accuracy():
-    f = html_extraction.Forest([html_extraction.parse(p) for p in training_pages.labelled(120, 99)])
-    content = html_extraction.sum_product(f, html_model())[0][:, 1] > 0.5
-    assert (content == (np.abs(f.label) > 0)).mean() > 0.97
-
-
-def test_html_held_out_pages_are_right_in_every_element():
+def test_html_held_out_pages():
+    """Pages by other seeds, whose unknown class names were never seen: elements, and pages right in every element."""
     for seed in (1002, 1003):
-        f = html_extraction.Forest([html_extraction.parse(p) for p in training_pages.labelled(500, seed)])
+        f = html_extraction.Forest([html_extraction.parse(p) for p in training_pages.labelled(300, seed)])
         wrong = (html_extraction.sum_product(f, html_model())[0][:, 1] > 0.5) != (np.abs(f.label) > 0)
-        assert (np.add.reduceat(wrong.astype(int), f.start[:500]) == 0).mean() >= 0.99
+        assert wrong.mean() < 0.003 and (np.add.reduceat(wrong.astype(int), f.start[:300]) == 0).mean() >= 0.95
+
+
+def in_article(inside):
+    nav = '<nav><ul><li><a href="/">home</a></li><li><a href="/a">about us</a></li></ul></nav>'
+    text = "Some words that make up a paragraph of this text"
+    return f"<html><body>{nav}<article><h1>Head</h1><p>{text}.</p>{inside}<p>{text} once more.</p></article><footer>the foot</footer></body></html>", f"Head\n\n{text}.\n\n%s{text} once more."
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<div class="comment"><p>reader says</p></div>', ""), ('<section class="notes"><p>a note of the author</p></section>', "a note of the author\n\n"),
+        ("<p>Let <math><mi>p</mi></math> be prime.</p>", "Let p be prime.\n\n"), ("<label>Name</label>", ""), ("<noscript>Please enable scripts</noscript>", ""),
+        ('<div class="zorp"><p>words in an unknown class</p></div>', "words in an unknown class\n\n"), ('<form class="quux"><p>your mail</p><button>go</button></form>', ""),
+        ('<table class="frell"><tr><td>one<td>two<tr><td>three</table>', "one\n\ntwo\n\nthree\n\n"), ('<div class="share"><a href="#">share this</a></div>', ""),
+        ('<p>a <custom-el>tag of</custom-el> its own</p>', "a tag of its own\n\n"), ("<script>x</script><style>y</style><template>z</template>", ""),
+        ('<p title="a > b" data-x=\'"\'>signs in values &lt;kept&gt;</p>', "signs in values <kept>\n\n"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2\n\n"),
+    ],
+)
+def test_html_of_varied_articles(inside, kept):
+    page, want = in_article(inside)
+    assert html_extraction.texts([html_extraction.parse(page)], html_model()) == [want % kept]
+
+
+@pytest.mark.parametrize("unit", ['<a title="', "<a title='x\" ", "<", "<!--", "<iframe>", "<li>x", "<table><tr><td>", '<a b="" ', "<i class=y>", "</p>"])
+def test_html_parses_in_proportion_to_the_page(unit):
+    import time
+
+    def seconds(n, end):
+        page = "<div>" * (n // 4) + unit * n + end
+        began = time.perf_counter()
+        html_extraction.parse(page)
+        return time.perf_counter() - began
+
+    for end in ("", 'c=">"', "</b>" * 2000):
+        small, large = min(seconds(4000, end) for _ in range(3)), seconds(32_000, end)
+        assert large < 0.05 + 24 * small
 
 
 def test_html_extraction(spark):
@@ -492,6 +673,16 @@ def test_revisits_against_loops(spark, buckets):
     assert len(bodies) == len(rows) and all((b.body is not None) == (b.response_id is not None) for b in bodies)
 
 
+def test_revisits_of_equal_time_and_id(spark):
+    """Equal in (ts, id): neither sees the other, whatever the order of rows; of equal responses the larger digest is the later."""
+    rows = [(1, "http://a.com/", 5, True, None, "p", None), (1, "http://a.com/", 5, False, None, "p", None), (1, "http://a.com/", 5, True, None, "q", None), (2, "http://a.com/", 6, False, None, "q", None)]
+    schema = f"record_id long, url string, ts long, full boolean, headers {warc_revisits.HEADERS}, digest string, body binary"
+    for order in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        for parts in (1, 4):
+            got = warc_revisits.resolve(spark.createDataFrame(order, schema).repartition(parts)).collect()
+            assert sorted((x.record_id, x.full, x.outcome) for x in got) == [(1, False, "unmatched"), (1, True, "full"), (1, True, "full"), (2, False, "resolved")]
+
+
 def test_digests_of_bpe_query(spark):
     from quillon.llm.queries import op10_bpe
 
