@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents and drop whole documents; none changes a text.
+
+Null and empty texts are rated by the classifier's bias, fail the rules (too few words) and so go at the second stage at the latest. Long
+texts are read whole by every stage. Equal texts fare alike in all stages but near-duplicate removal, where one of them
+stays: that with the smallest id, null ids last; of rows that are equal in all columns one stays. Empty documents give empty stages. Without
+labels, or with one grade, the classifier keeps all rows; without benchmark items decontamination does. Columns beside doc_id and text
+may have any names and pass unchanged through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontamination, quality_classifier, quality_rules, simhash
-from quillon.llm.common import read, spread, store
+from quillon.llm.common import discard, read, scratch, store
 from quillon.llm.queries import LEAST_TAIL, quality_model
 
 POLICY = "v1"
@@ -19,8 +25,7 @@ POLICY = "v1"
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are likely to be graded over the lowest grade."""
-    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir), keep=True)
-    return scored.where(F.element_at("_tail", 1) >= LEAST_TAIL).drop("_tail")
+    return quality_classifier.selected(docs, quality_model(spark, docs, sf_dir), LEAST_TAIL)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class."""
+    """Keeps the document with the smallest id of each class of links at five bits of the words' fingerprint, verified by that of five-word shingles."""
     return simhash.one_of_each(docs)
 
 
@@ -57,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read(spark, sf_dir, "documents"))
+    """What a stage stored besides its rows is deleted when they are written; the rows of a stage when those of the next are. Those that the last one reads stay."""
+    docs, last = read(spark, sf_dir, "documents", dealt=True), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = store(stage(spark, docs, sf_dir), name, lasting=True)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
