@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.score import Params, damp_column, idf
+from ..functions.score import Params, damp_column, idf, idf_plus_one
 from ..functions.text import has_phrase, row_text, term_count, tokens
 from ..sources.tables import Database
-from .index import identity
+from ..sources.workspace import Workspace
+from .index import WordIndex, identity
 from .query import Keyword, KeywordQuery
+from .ranks import row_numbers
 
 
 def count_of(k: Keyword, table: str, text: tuple[str, ...], words: Column) -> Column:
@@ -48,6 +50,11 @@ class Stats:
         df = self.total_df
         return [idf(self.n, df[k], i) for i, k in enumerate(self.keywords)]
 
+    @property
+    def idfs_plus_one(self) -> list[float]:
+        df = self.total_df
+        return [idf_plus_one(self.n, df[k]) for k in self.keywords]
+
     @property
     def tables(self) -> list[str]:
         """Those with keyword rows."""
@@ -112,6 +119,94 @@ def free(db: Database, table: str, query: KeywordQuery) -> DataFrame:
 
 
 def ranked(nf: DataFrame) -> DataFrame:
-    """nf with row_n by score, and block: the last row_n of its score. One window: meant for reports on a table's keyword rows."""
-    w = Window.orderBy(F.round("score", 9).desc(), "key")
-    return nf.withColumn("row_n", F.row_number().over(w)).withColumn("block", F.max("row_n").over(Window.partitionBy(F.round("score", 9))))
+    """nf with row_n by score, and block: the last row_n of its score. Rows are numbered in ranges; scores are counted once each."""
+    score = F.round("score", 9)
+    numbered = row_numbers(nf.withColumn("_s", score), [F.col("_s").desc(), F.col("key").asc()], "row_n")
+    return numbered.join(numbered.groupBy("_s").agg(F.max("row_n").alias("block")), "_s").drop("_s")
+
+
+def applies(query: KeywordQuery, table: str) -> bool:
+    return any(k.table in (None, table) for k in query.ranked)
+
+
+def scanned(db: Database, table: str, query: KeywordQuery) -> DataFrame:
+    """Join columns, key, dl, tf, bad (an excluded keyword is there) of all rows of a text table."""
+    text = db.spec.by_name[table].text
+    words = F.col("_w")
+    bad = reduce(Column.__or__, [count_of(k, table, text, words) > 0 for k in query.excluded], F.lit(False))
+    rows = db[table].withColumn("_w", tokens(row_text(text)))
+    return rows.select(*node_columns(db, table), F.size(words).alias("dl"), F.array(*[count_of(k, table, text, words) for k in query.ranked]).alias("tf"), bad.alias("bad"))
+
+
+def probed(db: Database, index: WordIndex, table: str, query: KeywordQuery) -> DataFrame:
+    """The same of the rows that hold a word of the query, by the index: postings pivoted by key, joined to the base table; phrases are looked up in the text again."""
+    text = db.spec.by_name[table].text
+    words = sorted({w for k in query.keywords if k.table in (None, table) for w in k.words})
+    tf = {w: F.max(F.when(F.col("word") == w, F.col("tf")).otherwise(0)) for w in words}
+    pivot = index.probe(table, words).groupBy("pk").agg(F.max("dl").alias("dl"), *[c.alias(f"w{i}") for i, c in enumerate(tf.values())])
+
+    def count(k: Keyword) -> Column:
+        if k.table not in (None, table):
+            return F.lit(0)
+        at = [F.col(f"w{words.index(w)}") for w in k.words]
+        if not k.phrase:
+            return at[0]
+        return (reduce(Column.__and__, [c > 0 for c in at]) & has_phrase(text, list(k.words))).cast("int")
+
+    base = db[table].select(*node_columns(db, table), *([F.struct(*text).alias("_text")] if any(k.phrase for k in query.keywords) else []))
+    joined = pivot.join(base, F.col("pk") == F.col("key"))
+    if any(k.phrase for k in query.keywords):
+        joined = joined.select("*", *[F.col(f"_text.{c}").alias(c) for c in text if c not in db.spec.columns(table)])
+    bad = reduce(Column.__or__, [count(k) > 0 for k in query.excluded], F.lit(False))
+    return joined.select(*[F.col(c) for c in (*db.spec.columns(table), "key", "dl")], F.array(*[count(k).cast("int") for k in query.ranked]).alias("tf"), bad.alias("bad"))
+
+
+class KeywordRows:
+    """The keyword rows of a query, written once and shared by all its networks; text tables are scanned once (or probed by an index), and not again.
+
+    The folder is deleted by drop().
+    """
+
+    def __init__(self, db: Database, query: KeywordQuery, strict: bool = False, index: WordIndex | None = None):
+        self.db = db
+        self.space = Workspace(db.spark, "keywords")
+        self.stats: Stats | None = None
+        n = len(query.ranked)
+        tables = [t for t in db.spec.text_tables if applies(query, t)]
+        seen = {t: Observation() for t in tables}
+        parts = []
+        for t in tables:
+            if index:
+                rows = probed(db, index, t, query)
+            else:
+                rows = scanned(db, t, query).observe(seen[t], F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+            rows = rows.where(F.exists("tf", lambda c: c > 0))
+            parts.append(rows.select(F.lit(t).alias("tbl"), "key", "dl", "tf", "bad", *[F.col(c).alias(f"{t}__{c}") for c in db.spec.columns(t)]))
+        if not parts:
+            return
+        self.rows = self.space.table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "rows", "tbl")
+        tf = [F.col("tf")[i] for i in range(n)]
+        found = {r.tbl: r for r in self.rows.groupBy("tbl").agg(F.count("*").alias("nf"), F.array(*[F.count_if(c > 0) for c in tf]).alias("df"), F.array(*[F.max(c) for c in tf]).alias("top")).collect()}
+        others = [t for t in db.spec.text_tables if t not in tables and not index]
+        size = dict(index.sizes) if index else {t: (o.get["n"], o.get["avgdl"] or 0.0) for t, o in seen.items()}
+        for t in others:
+            r = scanned(db, t, query).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+            size[t] = (r.n, r.avgdl or 0.0)
+        ks, order = query.ranked, db.spec.text_tables
+        df = {(t, k): found[t].df[i] if t in found else 0 for t in order for i, k in enumerate(ks)}
+        top = {(t, k): found[t].top[i] if t in found else 0 for t in order for i, k in enumerate(ks)}
+        left = query.surviving({k: sum(df[t, k] for t in order) for k in ks}, strict)
+        if left is None:
+            return
+        self.kept = [ks.index(k) for k in left.ranked]  # places of the keywords that are left in tf
+        self.stats = Stats(left, sum(size[t][0] for t in order), {t: size[t][0] for t in order}, {t: size[t][1] for t in order}, df, top, {t: found[t].nf if t in found else 0 for t in order})
+
+    def __getitem__(self, table: str) -> DataFrame:
+        """Like nonfree(): join columns, key, dl, tf, score of the rows without excluded keywords."""
+        tf = F.array(*[F.col("tf")[i] for i in self.kept])
+        own = self.rows.where((F.col("tbl") == table) & ~F.col("bad")).select(*[F.col(f"{table}__{c}").alias(c) for c in self.db.spec.columns(table)], "key", "dl", tf.alias("tf"))
+        own = own.where(F.exists("tf", lambda c: c > 0))
+        return own.withColumn("score", local_score([F.col("tf")[i] for i in range(len(self.kept))], self.stats.idfs))
+
+    def drop(self) -> None:
+        self.space.drop()

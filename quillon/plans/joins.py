@@ -11,29 +11,48 @@ from pyspark.sql import functions as F
 from ..functions.score import Params, size_weight, tree_score, upper_bound
 from ..functions.text import row_text
 from ..operators.index import identity
-from ..operators.nonfree import Stats, free, nonfree
+from ..operators.nonfree import KeywordRows, Stats, free, nonfree, ranked
 from ..operators.query import AND
 from ..sources.tables import Database
-from .networks import Network
+from .networks import Edge, Network
 
 RESULT = "score double, cn_size int, cn_key string, node_keys string, dl int, tf array<int>"
 
 
+Ranges = dict[int, tuple[int, int]]
+
+
 class Planner:
-    """Frames of a query's nodes, shared by its networks."""
+    """Frames of a query's nodes, shared by its networks: keyword rows as they were written once (rows), or scanned where there are none."""
 
-    def __init__(self, db: Database, stats: Stats, p: Params = Params(), break_symmetry: bool = True, and_mode: str = "filter"):
-        self.db, self.stats, self.p, self.break_symmetry, self.and_mode = db, stats, p, break_symmetry, and_mode
+    def __init__(self, db: Database, stats: Stats, p: Params = Params(), break_symmetry: bool = True, and_mode: str = "filter", rows: KeywordRows | None = None):
+        self.db, self.stats, self.p, self.break_symmetry, self.and_mode, self.keyword_rows = db, stats, p, break_symmetry, and_mode, rows
         self.nf: dict[str, DataFrame] = {}
+        self.in_order: dict[str, DataFrame] = {}
+
+    def table(self, table: str) -> DataFrame:
+        return self.nf.setdefault(table, self.keyword_rows[table] if self.keyword_rows else nonfree(self.db, table, self.stats, self.p))
 
-    def node(self, k: int, table: str, holds: bool) -> DataFrame:
-        """Columns prefixed by the node's number, so that self-joins don't clash."""
+    def numbered(self, table: str) -> DataFrame:
+        """Keyword rows with row_n by score and block, numbered once a search."""
+        if table not in self.in_order:
+            self.in_order[table] = ranked(self.table(table)).persist()
+        return self.in_order[table]
+
+    def node(self, k: int, table: str, holds: bool, rows: tuple[int, int] | None = None) -> DataFrame:
+        """Columns prefixed by the node's number, so that self-joins don't clash. rows: the first and last row_n that take part."""
         if holds:
-            df = self.nf.setdefault(table, nonfree(self.db, table, self.stats, self.p))
+            df = self.numbered(table).where(F.col("row_n").between(*rows)).drop("row_n", "block") if rows else self.table(table)
         else:
             df = free(self.db, table, self.stats.query)
         return df.select(*[F.col(c).alias(f"t{k}_{c}") for c in df.columns])
 
+    def close(self) -> None:
+        for df in self.in_order.values():
+            df.unpersist()
+        if self.keyword_rows:
+            self.keyword_rows.drop()
+
     def weight(self, net: Network) -> float:
         return size_weight(net.size, net.nonfree, len(self.stats.keywords), self.p)
 
@@ -41,41 +60,62 @@ class Planner:
         tables = {t for t, holds in net.nodes if holds}
         return sum(any(self.stats.df[t, k] for t in tables) for k in self.stats.keywords)
 
-    def bound(self, net: Network) -> float:
+    def bound(self, net: Network, tops: list[list[int]] | None = None) -> float:
+        """No tree scores more, rounded as scores are. tops: the largest tfs of the rows that take part, for each node with keywords; those of whole tables unless given."""
         s = self.stats
-        tops = [[s.max_tf[t, k] for k in s.keywords] for t, holds in net.nodes if holds]
         if self.p.method != "damped":
             return float("inf")
-        return upper_bound(tops, s.idfs, self.weight(net), len(s.keywords) if self.p.soft_missing else self.matched(net), self.p)
+        matched = len(s.keywords) if self.p.soft_missing else self.matched(net) if tops is None else sum(any(t[i] for t in tops) for i in range(len(s.keywords)))
+        tops = tops or [[s.max_tf[t, k] for k in s.keywords] for t, holds in net.nodes if holds]
+        return round(upper_bound(tops, s.idfs, self.weight(net), matched, self.p), 9)
+
+    def distinct_rows(self, net: Network, old: int, new: int) -> list[Column]:
+        """No row stands twice in a tree."""
+        same = net.nodes[old][0] == net.nodes[new][0] and self.db.spec.by_name[net.nodes[new][0]].pk
+        return [F.col(f"t{old}_key") != F.col(f"t{new}_key")] if same else []
+
+    def one_order(self, net: Network, df: DataFrame) -> DataFrame:
+        for a, b in net.twins() if self.break_symmetry else ():
+            df = df.where(F.struct(*[F.col(f"t{k}_key") for k in a]) < F.struct(*[F.col(f"t{k}_key") for k in b]))
+        return df
+
+    def on(self, e: Edge) -> Column:
+        f = self.db.spec.fks[e.key]
+        return F.col(f"t{e.fk}_{f.fk_col}") == F.col(f"t{e.pk}_{f.pk_col}")
 
-    def rows(self, net: Network) -> DataFrame:
-        """The joined trees with every node's columns. Joins start from the node with the fewest keyword rows and go outward."""
-        spec, s = self.db.spec, self.stats
+    def joined(self, net: Network, ranges: Ranges | None = None) -> DataFrame:
+        """The trees with every node's columns, equal subtrees in both orders. Joins start from the node with the fewest keyword rows and go outward."""
+        s, ranges = self.stats, ranges or {}
         first = min(range(net.size), key=lambda k: (s.n_nonfree.get(net.nodes[k][0], 0), k) if net.nodes[k][1] else (1 << 62, k))
-        df, joined, todo = self.node(first, *net.nodes[first]), [first], list(net.edges)
+        df, joined, todo = self.node(first, *net.nodes[first], ranges.get(first)), [first], list(net.edges)
         while todo:
             e = next(e for e in todo if e.fk in joined or e.pk in joined)
             todo.remove(e)
             new = e.pk if e.fk in joined else e.fk
-            f = spec.fks[e.key]
-            on = [F.col(f"t{e.fk}_{f.fk_col}") == F.col(f"t{e.pk}_{f.pk_col}")]
-            for old in joined:
-                if net.nodes[old][0] == net.nodes[new][0] and spec.by_name[net.nodes[new][0]].pk:
-                    on.append(F.col(f"t{old}_key") != F.col(f"t{new}_key"))
-            df = df.join(self.node(new, *net.nodes[new]), reduce(Column.__and__, on))
+            on = [self.on(e), *[c for old in joined for c in self.distinct_rows(net, old, new)]]
+            df = df.join(self.node(new, *net.nodes[new], ranges.get(new)), reduce(Column.__and__, on))
             joined.append(new)
-        if self.break_symmetry:
-            for a, b in net.twins():
-                df = df.where(F.struct(*[F.col(f"t{k}_key") for k in a]) < F.struct(*[F.col(f"t{k}_key") for k in b]))
         return df
 
-    def scored(self, net: Network) -> DataFrame:
+    def rows(self, net: Network, ranges: Ranges | None = None) -> DataFrame:
+        return self.one_order(net, self.joined(net, ranges))
+
+    def from_halves(self, net: Network, edge: Edge, halves: list[tuple[DataFrame, list[int]]]) -> DataFrame:
+        """The trees of net from those of its two sides of an edge; each half is a frame of a made() network and the nodes of net that its nodes are."""
+        frames = []
+        for df, at in halves:
+            names = {f"t{k}": f"t{n}" for k, n in enumerate(at)}
+            frames.append(df.select(*[F.col(c).alias(names[c.split("_", 1)[0]] + "_" + c.split("_", 1)[1]) for c in df.columns]))
+        on = [self.on(edge), *[c for a in halves[0][1] for b in halves[1][1] for c in self.distinct_rows(net, a, b)]]
+        return self.one_order(net, frames[0].join(frames[1], reduce(Column.__and__, on)))
+
+    def scored(self, net: Network, rows: DataFrame | None = None) -> DataFrame:
         """RESULT columns of all trees of a network; and keywords must all be there."""
         s, held = self.stats, [k for k, (_, holds) in enumerate(net.nodes) if holds]
         n = len(s.keywords)
         tfs = [reduce(Column.__add__, [F.col(f"t{k}_tf")[i] for k in held]) for i in range(n)]
         dl = reduce(Column.__add__, [F.col(f"t{k}_dl") for k in held])
-        df = self.rows(net)
+        df = self.rows(net) if rows is None else rows
         if self.and_mode == "filter":
             for i, k in enumerate(s.keywords):
                 if k.group == AND:
@@ -100,22 +140,21 @@ class Planner:
                 each = []
                 for k, t in zip(held, tables):
                     norm = (F.lit(0.8) + F.lit(0.2) * F.col(f"t{k}_dl") / F.lit(s.avgdl[t] or 1.0)) * F.lit(1 + math.log(max(s.avgdl[t], 1.0)))
-                    each.append(damped(F.col(f"t{k}_tf")[i]) * F.lit(s.idfs[i]) / norm)
+                    each.append(damped(F.col(f"t{k}_tf")[i]) * F.lit(s.idfs_plus_one[i]) / norm)
                 top = F.greatest(*each) if len(each) > 1 else each[0]
                 total = total + F.when(top > 0, top * damped(reduce(Column.__add__, each) / top)).otherwise(F.lit(0.0))
             return total * F.lit(1 / (0.8 + 0.2 * net.size / p.average_size))
         return tree_score(tfs, s.idfs, dl, sum(s.avgdl[t] for t in tables), self.weight(net), p, [max(s.max_tf[t, k] for t in s.sizes) for k in s.keywords])
 
-    def top(self, net: Network, k: int) -> DataFrame:
-        return in_order(self.scored(net)).limit(k)
+    def top(self, net: Network, k: int, rows: DataFrame | None = None) -> DataFrame:
+        return in_order(self.scored(net, rows)).limit(k)
 
     def texts(self, top: DataFrame, net: Network) -> DataFrame:
         """top (of this network) with nodes array<struct<tbl, key, text>>: the few rows are joined back to the tables that have text."""
         df = top.withColumn("_keys", F.split("node_keys", r"\|"))
         nodes = []
         for k, (t, _) in enumerate(net.nodes):
-            key = F.element_at("_keys", k + 1)
-            df = df.withColumn(f"_k{k}", F.substring(key, len(t) + 2, 1 << 20))
+            df = df.withColumn(f"_k{k}", F.expr(f"substring(element_at(_keys, {k + 1}), {len(t) + 2})"))
             text = self.db.spec.by_name[t].text
             if text:
                 own = self.db[t].select(identity(self.db, t).alias(f"_k{k}"), row_text(text).alias(f"_x{k}"))
