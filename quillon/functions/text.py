@@ -48,9 +48,18 @@ def has_phrase(columns: list[str] | tuple[str, ...], words: list[str]) -> Column
 
 
 def highlight(text: Column, words: list[str]) -> Column:
-    """Every word, in any case, as <b>word</b>."""
-    for w in words:
-        text = F.regexp_replace(text, f"(?i){re.escape(w)}", f"<b>{w}</b>")
+    """Every word, in any case, as <b>word</b>. Words are set aside as signs of a private area first, so that none is marked within another's mark."""
+    for i, w in enumerate(words):
+        text = F.regexp_replace(text, f"(?i){re.escape(w)}", chr(0xE000 + i))
+    for i, w in enumerate(words):
+        text = F.replace(text, F.lit(chr(0xE000 + i)), F.lit(f"<b>{w}</b>"))
+    return text
+
+
+def escaped(text: Column) -> Column:
+    """For HTML."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
     return text
 
 

@@ -77,21 +77,28 @@ def idf_estimate_error(planner: Planner, networks: list[Network]) -> DataFrame:
 def workload(dictionary: DataFrame, draws: DataFrame) -> DataFrame:
     """draws: query long, draw long, at double in [0, 1). Each draw takes the word whose share of occurrences holds it; a query's words come in the order of the dictionary.
 
-    Running sums go by first letters and then within them, so no single task sorts the dictionary.
+    Running sums go by first letters and then within them, so no single task sorts the dictionary. A draw is told its
+    letters first (a table of one row a pair of letters), and meets the words of those letters only.
     """
     words = dictionary.select("word", "occurrences", F.substring("word", 1, 2).alias("part"))
     parts = words.groupBy("part").agg(F.sum("occurrences").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each pair of letters
-    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    small = F.broadcast(parts.select("part", "before", "n"))  # one row a pair of letters
+    placed = draws.select("query", "draw", F.floor(F.col("at") * F.lit(total)).alias("place"))
+    placed = placed.join(small, (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select("query", "draw", "place", "part")
     within = Window.partitionBy("part").orderBy("word")
-    ranged = words.join(F.broadcast(parts), "part").withColumn("high", F.col("before") + F.sum("occurrences").over(within))
-    ranged = ranged.select("word", (F.col("high") - F.col("occurrences")).alias("low"), "high", "total")
-    total = F.broadcast(parts.select("total").limit(1))
-    placed = draws.crossJoin(total).select("query", "draw", F.floor(F.col("at") * F.col("total")).alias("place"))  # one row with the total
-    hit = ranged.drop("total").join(F.broadcast(placed), (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    ranged = words.join(small.drop("n"), "part").withColumn("high", F.col("before") + F.sum("occurrences").over(within))
+    hit = ranged.join(placed, "part").where((F.col("place") >= F.col("high") - F.col("occurrences")) & (F.col("place") < F.col("high")))
     return hit.select("query", "draw", "word")
 
 
+def mean_error(estimates: DataFrame) -> DataFrame:
+    """n, mean_error of idf_estimate_error()."""
+    return estimates.agg(F.count("error").alias("n"), F.avg("error").alias("mean_error"))
+
+
 def compare_algorithms(db: Database, text: str, k: int = 10, algorithms: tuple[str, ...] = ("sparse", "global_pipeline", "queue_pipeline", "two_level_bound", "tree_pipeline"), **how) -> DataFrame:
     """algorithm, networks, run, pruned, kth_score, seconds: the same query by each; equal kth scores are the check."""
     out = []

@@ -8,18 +8,18 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.text import highlight, two_places
+from ..functions.text import escaped, highlight, two_places
 from ..operators.query import KeywordQuery
 
 
 def highlighted(found: DataFrame, query: KeywordQuery) -> DataFrame:
-    """score_text, cn_key, node_keys, and text: the nodes' texts with keywords in <b>, and drill: a query by the first text as a phrase of its table."""
+    """score_text, cn_key, node_keys, and text: the nodes' texts escaped for HTML with keywords in <b>, and drill: a query by the first text as a phrase of its table."""
     words = [w for k in query.ranked for w in k.words]
     nodes = F.filter("nodes", lambda n: n["text"].isNotNull())
     text = F.array_join(F.transform(nodes, lambda n: F.concat(n["tbl"], F.lit(": "), n["text"])), " | ")
     first = F.try_element_at(nodes, F.lit(1))
     drill = F.concat(first["tbl"], F.lit(":'"), F.lower(first["text"]), F.lit("'"))
-    return found.select(two_places(F.col("score")).alias("score_text"), "cn_key", "node_keys", highlight(text, words).alias("text"), drill.alias("drill"))
+    return found.select(two_places(F.col("score")).alias("score_text"), "cn_key", "node_keys", highlight(escaped(text), words).alias("text"), drill.alias("drill"))
 
 
 def lines(query_id: str, algorithm: str, rows: Iterable[Row]) -> Iterable[str]:

@@ -1,7 +1,7 @@
 """Bibliography XML to the tables of spec.BIBLIOGRAPHY.
 
 Records are read by Spark's XML source, one reader for each kind of record; entities get ids by their order of name.
-Ids come from ranks within the first two bytes of the name and counts of those, at most 65,536, not from one global window.
+Ids come from ranks within ranges of names and the counts of those, not from one window.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import row_numbers
+
 # Record tags, fields, and the kind of a container that is only referred to.
 RECORDS = ("article", "inproceedings", "proceedings", "book", "incollection", "phdthesis", "mastersthesis", "www")
 FIELDS = ("title", "pages", "year", "volume", "number", "url", "ee", "isbn", "publisher", "series", "crossref", "journal", "booktitle")
@@ -29,14 +31,8 @@ def records(spark: SparkSession, path: str, kinds: tuple[str, ...] = RECORDS) ->
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """df with ids 1, 2, ... by the order of a unique column: rows are ranked within ranges, ranges by their counts."""
-    from pyspark.sql import Window
-
-    ranged = df.withColumn("_part", F.substring(F.hex(F.col(by).cast("binary")), 1, 4))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(by).cast("binary")))
-    return ranged.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).drop("_part", "_rank", "_before")
+    """df with ids 1, 2, ... by the order of a unique column's bytes."""
+    return row_numbers(df, [F.col(by).cast("binary").asc()], name)
 
 
 def names(of: Column) -> Column:

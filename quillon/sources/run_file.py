@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-#: Codes of the algorithms; all give the same rows.
+# Codes of the algorithms in run files.
 ALGORITHMS = {1: "sparse", 2: "global_pipeline", 5: "queue_pipeline", 7: "two_level_bound", 10: "tree_pipeline"}
 
 

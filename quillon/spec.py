@@ -123,4 +123,41 @@ BIBLIOGRAPHY = SchemaSpec(
     ),
 )
 
-BUILT_IN = {s.name: s for s in (SALES, FILMS, BIBLIOGRAPHY)}
+
+
+def _schema(name: str, keys: str, text: str, rows: str, fks: str) -> SchemaSpec:
+    """keys, text, rows: 'table column,column; ...' of key columns, text columns, and columns that tell rows of tables without a key apart; fks: 'table.column > table.column; ...', the referring table first."""
+    parts = [{x.split()[0]: tuple(x.split()[1].split(",")) for x in lines.split(";") if x.strip()} for lines in (keys, text, rows)]
+    tables = tuple(Table(t, parts[0].get(t, ()), parts[1].get(t, ()), parts[2].get(t, ())) for t in dict.fromkeys((*parts[0], *parts[2])))
+    pairs = [[side.strip().split(".") for side in x.split(">")] for x in fks.split(";") if x.strip()]
+    return SchemaSpec(name, tables, tuple(ForeignKey(pk[0], pk[1], fk[0], fk[1]) for fk, pk in pairs))
+
+
+# Tables, keys, text columns and references of two published data sets.
+IMDB = _schema(
+    "imdb",
+    "actorplay Id; actors Id; actresses Id; actressplay Id; directors Id; genres Id; movies Id",
+    "actorplay Charactor; actors Name; actresses Name; actressplay Charactor; directors Name; genres Name; movies Name",
+    "direct Director,Movie",
+    """actorplay.Actor > actors.Id; actorplay.Movie > movies.Id; actressplay.Actress > actresses.Id; actressplay.Movie > movies.Id;
+    direct.Director > directors.Id; direct.Movie > movies.Id; genres.Movie > movies.Id""",
+)
+
+MONDIAL = _schema(
+    "Mondial",
+    """borders ID_COUNTRY1,ID_COUNTRY2; city ID; continent ID; country ID; desert ID; economy ID_COUNTRY; encompasses ID_CONTINENT,ID_COUNTRY; ethnic_group Name,ID_COUNTRY;
+    geo_desert ID_PROVINCE,ID_DESERT; geo_island ID_PROVINCE,ID_ISLAND; geo_lake ID_PROVINCE,ID_LAKE; geo_mountain ID_PROVINCE,ID_MOUNTAIN; geo_river ID_PROVINCE,ID_RIVER; geo_sea ID_PROVINCE,ID_SEA;
+    is_member ID_COUNTRY,ID_ORGANIZATION; island ID; lake ID; language Name,ID_COUNTRY; merges_with ID_SEA1,ID_SEA2; mountain ID; organization ID; politics ID_COUNTRY; population ID_COUNTRY; province ID;
+    religion Name,ID_COUNTRY; river ID; sea ID""",
+    """city Name; continent Name; country Code,Name; desert Name; ethnic_group Name; is_member Type; island Name,Islands; lake Name; language Name; mountain Name; organization Abbreviation,Name; politics Government;
+    province Name; religion Name; river Name; sea Name""",
+    "located ID_CITY,ID_RIVER,ID_LAKE,ID_SEA",
+    """organization.ID_CITY > city.ID; is_member.ID_ORGANIZATION > organization.ID; is_member.ID_COUNTRY > country.ID; country.ID_CITY > city.ID; borders.ID_COUNTRY1 > country.ID; borders.ID_COUNTRY2 > country.ID;
+    economy.ID_COUNTRY > country.ID; population.ID_COUNTRY > country.ID; politics.ID_COUNTRY > country.ID; located.ID_CITY > city.ID; located.ID_RIVER > river.ID; located.ID_LAKE > lake.ID; located.ID_SEA > sea.ID;
+    city.ID_PROVINCE > province.ID; province.ID_COUNTRY > country.ID; province.ID_CITY > city.ID; language.ID_COUNTRY > country.ID; religion.ID_COUNTRY > country.ID; ethnic_group.ID_COUNTRY > country.ID;
+    geo_lake.ID_LAKE > lake.ID; geo_lake.ID_PROVINCE > province.ID; geo_river.ID_RIVER > river.ID; geo_river.ID_PROVINCE > province.ID; geo_sea.ID_SEA > sea.ID; geo_sea.ID_PROVINCE > province.ID;
+    geo_island.ID_ISLAND > island.ID; geo_island.ID_PROVINCE > province.ID; geo_mountain.ID_MOUNTAIN > mountain.ID; geo_mountain.ID_PROVINCE > province.ID; geo_desert.ID_DESERT > desert.ID; geo_desert.ID_PROVINCE > province.ID;
+    encompasses.ID_COUNTRY > country.ID; encompasses.ID_CONTINENT > continent.ID; river.ID_LAKE > lake.ID; river.ID_SEA > sea.ID; river.ID_RIVER > river.ID; merges_with.ID_SEA1 > sea.ID; merges_with.ID_SEA2 > sea.ID""",
+)
+
+BUILT_IN = {s.name: s for s in (SALES, FILMS, BIBLIOGRAPHY, IMDB, MONDIAL)}

@@ -11,7 +11,7 @@ from quillon.functions.text import tokens_of
 from quillon.operators.query import AND, NOT, OR, parse
 from quillon.plans.networks import Edge, Network, NetworkIndex, generate
 from quillon.sources.run_file import read_config, read_queries
-from quillon.spec import BIBLIOGRAPHY, FILMS, SALES, SchemaSpec
+from quillon.spec import BIBLIOGRAPHY, BUILT_IN, FILMS, IMDB, MONDIAL, SALES, SchemaSpec
 
 
 @pytest.mark.parametrize(
@@ -100,3 +100,21 @@ def test_run_file():
 
 def test_spec_round_trip():
     assert SchemaSpec.from_json(SALES.to_json()) == SALES
+
+
+def test_networks_of_other_schemas():
+    """References to one table by two columns, from a table to itself, around a circle, and keys of several columns."""
+    assert len(MONDIAL.fks) == 38 and len(MONDIAL.text_tables) == 16 and len(IMDB.fks) == 7 and len(IMDB.text_tables) == 7
+    rivers = {n.key for n in generate(MONDIAL, ["river"], 3)}
+    assert any(n.count("river*") == 2 for n in rivers)
+    capitals = [n for n in generate(MONDIAL, ["city", "country"], 2) if n.size == 2]
+    assert len(capitals) == 1 and len([n for n in generate(MONDIAL, ["country"], 3) if any(t == "borders" for t, _ in n.nodes)]) == 1
+    assert len([n for n in generate(IMDB, ["movies", "actors"], 3) if n.size == 3]) >= 1 and set(BUILT_IN) == {"sales", "films", "bibliography", "imdb", "Mondial"}
+
+
+def test_sides_of_a_cut_make_up_the_network():
+    for net in generate(SALES, SALES.text_tables, 4):
+        for e in net.edges:
+            (a, at), (b, bt) = net.side(e, e.fk), net.side(e, e.pk)
+            assert sorted(at + bt) == list(range(net.size)) and a.size + b.size == net.size
+            assert [net.nodes[k] for k in at] == list(a.nodes) and [net.nodes[k] for k in bt] == list(b.nodes)

@@ -86,10 +86,10 @@ def test_algorithms_agree(films, algorithm):
 
 def test_pruning_keeps_results_for_random_queries(films):
     r = random.Random(1)
-    for _ in range(4):
+    for _ in range(2):
         text = " ".join(r.sample(WORDS, 2))
         s = topk.prepare(films[0], text, max_size=4)
-        rows = list(topk.results(s, 3))
+        rows = list(topk.results(topk.prepare(films[0], text, max_size=4), 3))
         assert rows == topk.search_plan(films[0], text, 3, max_size=4).collect()
         for n in s.networks:
             best = s.planner.scored(n).agg(F.max("score")).first()[0]
@@ -156,6 +156,102 @@ def test_xml(spark, tmp_path):
     assert t["person_item"].count() == 4 and items["conf/p1"].publisher_id == 1
 
 
+@pytest.mark.parametrize("algorithm", topk.ALGORITHMS)
+def test_algorithms_agree_over_small_blocks(films, algorithm, monkeypatch):
+    """Blocks of two rows, so that many are taken: the same rows as the exhaustive plan."""
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    whole = topk.search_plan(films[0], "red war", 3, max_size=3).collect()
+    assert list(topk.results(topk.prepare(films[0], "red war", max_size=3), 3, algorithm)) == whole
+
+
+def test_blocks_read_fewer_keyword_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    film = [(i, "red red red war" if i < 4 else "red", "x" * (i % 7)) for i in range(200)] + [(500 + i, "dull", "y") for i in range(300)]
+    none = [("genre", "id long, name string, description string"), ("film_genre", "id long, film long, genre long")]
+    db = Database(FILMS, {"film": spark.createDataFrame(film, "id long, name string, description string"), **{t: spark.createDataFrame([], s) for t, s in none}})
+    read = {}
+    for algorithm in ("sparse", "queue_pipeline", "global_pipeline"):
+        s = topk.prepare(db, "red war", max_size=1)
+        assert [r.score for r in topk.results(s, 2, algorithm)] == [r.score for r in topk.search(db, "red war", 2, max_size=1).collect()]
+        read[algorithm] = s.metrics["rows_in"]
+    assert read["sparse"] == 200 and read["queue_pipeline"] <= 20 and read["global_pipeline"] <= 20
+
+
+def test_tight_bounds_hold_and_are_no_larger(films):
+    s = topk.prepare(films[0], "red blue", max_size=4)
+    units = topk.TwoLevel(s, 3)
+    for n in s.networks:
+        best = s.planner.scored(n).agg(F.max("score")).first()[0]
+        tight = units.tight(n)  # no bound where an idf is negative
+        assert (tight <= s.planner.bound(n) or min(s.planner.stats.idfs) < 0) and (best is None or best <= tight + 1e-9)
+    s.close()
+
+
+def test_halves_are_shared_and_empty_ones_are_pruned(spark):
+    r = random.Random(8)
+    film = [(i, "red" if i < 3 else "dull", "x") for i in range(9)]
+    genre = [(i, "war" if i < 2 else "dull", "y") for i in range(4)]
+    link = [(i, r.randrange(9), r.randrange(4)) for i in range(40)]
+    tables = {"film": (film, "id long, name string, description string"), "genre": (genre, "id long, name string, description string"), "film_genre": (link, "id long, film long, genre long")}
+    db = Database(FILMS, {t: spark.createDataFrame(rows, schema) for t, (rows, schema) in tables.items()})
+    assert topk.search(db, "red war", 40, "tree_pipeline", max_size=5).collect() == topk.search_plan(db, "red war", 40, max_size=5).collect()
+    lonely = Database(FILMS, {**db.frames, "film_genre": db["film_genre"].limit(0)})
+    s = topk.prepare(lonely, "red war", max_size=5)
+    assert len(list(topk.results(s, 40, "tree_pipeline"))) == 5 and s.metrics["run"] < len(s.networks)
+
+
+def test_search_over_the_index(spark, films, tmp_path):
+    words = index.WordIndex.write(films[0], str(tmp_path / "ix"), 8, stop=())
+    for text in ("red blue", "red -war", "film:red genre:blue", "'red blue' love", "+red +war", "love zzzz"):
+        assert topk.search(films[0], text, 12, max_size=3, words=words).collect() == topk.search(films[0], text, 12, max_size=3).collect()
+
+
+def test_keyword_rows_are_dropped_and_a_search_can_time_out(films):
+    import os
+
+    s = topk.prepare(films[0], "red", max_size=3)
+    path = s.planner.keyword_rows.space.path.removeprefix("file://")
+    assert os.path.isdir(path)
+    rows = list(topk.results(s, 3, timeout=0.0))
+    assert not os.path.isdir(path) and s.metrics["timed_out"] == 1.0 and len(rows) <= 3
+
+
+def test_keys_hold_signs_that_part_them(spark):
+    from quillon.spec import SchemaSpec, Table
+
+    spec = SchemaSpec("k", (Table("t", ("a", "b"), ("x",)),))
+    rows = [("a-b", "c", "red one"), ("a", "b-c", "red two"), ("a|%", None, "red three")]
+    db = Database(spec, {"t": spark.createDataFrame(rows, "a string, b string, x string")})
+    found = topk.search_with_texts(db, "red", 9).collect()
+    assert len({r.node_keys for r in found}) == 3 and {r.nodes[0].text for r in found} == {"red one", "red two", "red three"}
+
+
+def test_row_numbers(spark):
+    from quillon.operators.ranks import row_numbers
+
+    r = random.Random(3)
+    rows = [(r.randrange(4), i) for i in range(500)]
+    got = row_numbers(spark.createDataFrame(rows, "s int, k int").repartition(5), [F.col("s").desc(), F.col("k").asc()], "n", 7).collect()
+    assert [(x.s, x.k) for x in sorted(got, key=lambda x: x.n)] == sorted(rows, key=lambda x: (-x[0], x[1])) and sorted(x.n for x in got) == list(range(1, 501))
+
+
+def test_html_is_escaped_and_marks_are_not_marked_again(spark):
+    from quillon.functions.text import escaped, highlight
+
+    df = spark.createDataFrame([("<i>Bold</i> & b",)], "t string")
+    assert df.select(highlight(escaped(F.col("t")), ["bold", "b"]).alias("t")).first().t == "&lt;i&gt;<b>bold</b>&lt;/i&gt; &amp; <b>b</b>"
+
+
+DIFFER = [("topk_and", "topk_size5"), ("topk_table", "topk_number"), ("topk_star", "topk_or"), ("topk_both_orders", "topk_pinned_cn"), ("topk_punctuated", "topk_or"), ("topk_and", "topk_spaced_plus")]
+
+
+def test_queries_differ_from_their_controls(spark):
+    from quillon.queries import QUERIES
+
+    found = {n: [tuple(r) for r in QUERIES[n](spark, "/root/testdata/sf0.001").collect()] for n in {x for pair in DIFFER for x in pair}}
+    assert all(found[a] and found[a] != found[b] for a, b in DIFFER) and found["topk_spaced_plus"] == found["topk_size5"]
+
+
 @pytest.mark.parametrize("name", ["topk_or", "topk_size5", "cn_size4_star", "nonfree_phrase", "dictionary_part"])
 def test_queries_against_duckdb(spark, name):
     import glob

@@ -32,6 +32,18 @@ def test_string_tools(spark, tmp_path):
     assert stop_words(str(tmp_path / "s.txt")) == ("of", "the")
 
 
+def test_jdbc_reads_each_table_by_name(spark, monkeypatch):
+    """No driver is here; the reader's options are what counts."""
+    from pyspark.sql import DataFrameReader
+
+    from quillon.sources.tables import from_jdbc
+
+    asked = []
+    monkeypatch.setattr(DataFrameReader, "load", lambda self: asked.append(self) or spark.range(1))
+    db = from_jdbc(spark, SALES, "jdbc:x://there/db", user="me", fetchsize="100")
+    assert len(asked) == len(SALES.tables) and set(db.frames) == {t.name for t in SALES.tables}
+
+
 def test_catalog(spark):
     for t in SALES.tables:
         spark.read.parquet(f"{FOLDER}/{t.name}.parquet").createOrReplaceTempView(t.name)
