@@ -224,9 +224,9 @@ def top_query(name: str, text: str, q: o.Asked, networks: list[o.Tree], k: int =
 _AFRICA, _ONE = o.asked("africa", "widget"), "000000001"
 _MUST = o.asked(o.Word(("furniture",), must=True), o.Word(("widget",), must=True))
 top_query("topk_or", FLAGSHIP, _Q, _NETS)
-top_query("topk_and", "+africa +widget", o.asked(o.Word(("africa",), must=True), o.Word(("widget",), must=True)), o.REGION_PART_5, max_size=5)
+top_query("topk_and", "+africa +brand", o.asked(o.Word(("africa",), must=True), o.Word(("brand",), must=True)), o.REGION_PART_5, max_size=5)
 top_query("topk_and_rank_only", "+furniture +widget", _MUST, _NETS, k=400, and_mode="rank_only")
-top_query("topk_spaced_plus", "+ africa + widget", _AFRICA, o.REGION_PART_5, max_size=5)
+top_query("topk_spaced_plus", "+ africa + brand", o.asked("africa", "brand"), o.REGION_PART_5, max_size=5)
 top_query("topk_not", "furniture widget -red", o.asked("furniture", "widget", without="red"), _NETS)
 top_query("topk_phrase", "furniture 'red plate'", o.asked("furniture", RED_PLATE), _NETS)
 top_query("topk_punctuated", "furniture red--plate", o.asked("furniture", RED_PLATE), _NETS)

