@@ -62,3 +62,22 @@ def joined_rows(spark, copies, k, **how):
 def test_one_plan_joins_no_more_rows_for_more_copies(spark):
     """topk_one_plan: trees joined don't grow with the cube of a group."""
     assert joined_rows(spark, 50, 2) == joined_rows(spark, 100, 2)
+
+
+@pytest.mark.parametrize("how", [{}, {"break_symmetry": False}], ids=str)
+def test_counted_trees_are_all_trees(many, how):
+    """cn_scores: counts, best and worst without the trees."""
+    s, networks = planned(many, **how)
+    for n in networks:
+        trees = s.planner.scored(n).agg(F.count("*"), F.max("score"), F.min("score")).first()
+        assert [tuple(r)[1:] for r in s.planner.extremes(n).collect()] == [tuple(trees)]
+        assert s.planner.counted(n).count() < trees[0] / 3
+    s.close()
+
+
+def test_counted_trees_where_rows_share_a_key(spark):
+    """Keys that are no keys: rows of one key make no tree, so the trees are joined."""
+    s, networks = planned(database(spark, [(str(i % 8), "red", "", 0) for i in range(12)]), "red")
+    for n in networks:
+        assert s.planner.extremes(n).first().n_trees == s.planner.scored(n).count() > 0
+    s.close()
