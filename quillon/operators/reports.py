@@ -15,7 +15,7 @@ from ..plans.joins import Planner
 from ..plans.networks import Network, generate
 from ..sources.tables import Database
 from ..spec import SchemaSpec
-from .nonfree import Stats, nonfree
+from .nonfree import Stats, nonfree, scanned
 from .topk import prepare, results
 
 
@@ -50,24 +50,27 @@ def network_catalog(planner: Planner, networks: list[Network]) -> DataFrame:
     return planner.db.spark.createDataFrame(rows, "cn_no int, cn_key string, cn_size int, n_nonfree int, weight double, bound double")
 
 
+def all_rows(planner: Planner) -> Planner:
+    """A planner whose nodes with keywords are all rows of their tables, by which keywords they hold; not by length, so that most rows are alike."""
+    bare = Planner(planner.db, planner.stats, planner.p, break_symmetry=False)
+    for t in planner.stats.sizes:
+        rows = scanned(planner.db, t, planner.stats.query).where(~F.col("bad")).drop("bad")
+        bare.nf[t] = rows.withColumns({"tf": F.transform("tf", lambda c: (c > 0).cast("int")), "dl": F.lit(0)})
+    return bare
+
+
 def idf_estimate_error(planner: Planner, networks: list[Network]) -> DataFrame:
     """For networks of size 3: trees with any rows, with the keyword, the idf that gives, the estimate from independent selectivities, and the relative error."""
-    s, out = planner.stats, []
+    s, out, bare = planner.stats, [], all_rows(planner)
     for n in networks:
         if n.size != 3:
             continue
-        bare = Planner(planner.db, s, planner.p, break_symmetry=False)
-        whole = Network(tuple((t, False) for t, _ in n.nodes), n.edges)
-        n_all = bare.rows(whole).count()
-        tables = [t for t, holds in n.nodes if holds]
-        for k in s.keywords:
+        held = [i for i, (_, holds) in enumerate(n.nodes) if holds]
+        tables = [n.nodes[i][0] for i in held]
+        hit = [reduce(lambda a, b: a | b, [F.col(f"t{i}_tf")[j] > 0 for i in held]) for j in range(len(s.keywords))]
+        n_all, *hits = bare.counted(n).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), *[F.when(h, F.col("n")) for h in hit])]).first()
+        for k, with_it in zip(s.keywords, hits):
             if n_all and all(s.df[t, k] for t in tables):
-                hit = [F.col(f"t{i}_key") for i, (_, holds) in enumerate(n.nodes) if holds]
-                keys = {t: nonfree(planner.db, t, s).where(F.col("tf")[s.keywords.index(k)] > 0).select("key") for t in set(tables)}
-                rows = bare.rows(whole)
-                for i, (c, t) in enumerate(zip(hit, tables)):
-                    rows = rows.join(keys[t].select(F.col("key").alias(f"_k{i}"), F.lit(1).alias(f"_h{i}")), c == F.col(f"_k{i}"), "left")
-                with_it = rows.where(reduce(lambda a, b: a | b, [F.col(f"_h{i}").isNotNull() for i in range(len(hit))])).count()
                 true = math.log(n_all / with_it) if with_it else None
                 estimate = math.log(1 / (1 - math.prod(1 - s.df[t, k] / s.sizes[t] for t in tables)))
                 out.append((n.key, str(k), n_all, with_it, true, estimate, abs(estimate - true) / true if true else None))

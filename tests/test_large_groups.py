@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.score import Params
-from quillon.operators import topk
+from quillon.operators import reports, topk
 from quillon.plans.joins import in_order
 from quillon.sources.tables import Database
 from quillon.spec import SALES
@@ -81,3 +81,16 @@ def test_counted_trees_where_rows_share_a_key(spark):
     for n in networks:
         assert s.planner.extremes(n).first().n_trees == s.planner.scored(n).count() > 0
     s.close()
+
+
+def test_idf_estimate_of_large_groups(many):
+    """idf_estimate_error: the pairs counted, not joined."""
+    s, networks = planned(many, "red")
+    customers = many["customer"].collect()
+    pairs = [(a, b) for a in customers for b in customers if a.c_nationkey == b.c_nationkey and a.c_custkey != b.c_custkey]
+    with_it = sum("red" in a.c_name or "red" in b.c_name for a, b in pairs)
+    found = reports.idf_estimate_error(s.planner, networks).first()
+    assert (found.n_all, found.n_with) == (len(pairs), with_it)
+    bare = reports.all_rows(s.planner)
+    assert bare.counted(networks[0]).count() <= 4 * len(NATIONS)
+    s.close()
