@@ -94,3 +94,14 @@ def test_idf_estimate_of_large_groups(many):
     bare = reports.all_rows(s.planner)
     assert bare.counted(networks[0]).count() <= 4 * len(NATIONS)
     s.close()
+
+
+def test_mean_error_of_large_groups(many):
+    """idf_estimate_mean_error: over all size-3 networks of two keywords, from one count of classes each."""
+    s, networks = planned(many)
+    each = reports.idf_estimate_error(s.planner, networks)
+    errors = [r.error for r in each.collect()]
+    found = reports.mean_error(each).first()
+    assert found.n == len(errors) == 2 and abs(found.mean_error - sum(errors) / 2) < 1e-12
+    assert reports.all_rows(s.planner).counted(networks[0]).count() <= 16 * len(NATIONS)
+    s.close()
