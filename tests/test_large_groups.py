@@ -41,7 +41,7 @@ def planned(db, text="red blue", **how):
     return s, [n for n in s.networks if n.key.startswith("nation(<1customer*,<1customer*")]
 
 
-@pytest.mark.parametrize("how", [{}, {"break_symmetry": False}, {"p": Params(method="virtual_document")}], ids=["topk_one_plan", "topk_both_orders", "topk_score3"])
+@pytest.mark.parametrize("how", [{}, {"break_symmetry": False}, {"p": Params(method="virtual_document")}, {"p": Params(method="tuple_average")}], ids=["topk_one_plan", "topk_both_orders", "topk_score3", "topk_score1"])
 def test_best_trees_of_large_groups(many, how):
     s, networks = planned(many, **how)
     assert [n.size for n in networks] == [3, 4]
