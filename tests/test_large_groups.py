@@ -106,3 +106,12 @@ def test_mean_error_of_large_groups(many):
     assert found.n == len(errors) == 2 and abs(found.mean_error - sum(errors) / 2) < 1e-12
     assert reports.all_rows(s.planner).counted(networks[0]).count() <= 16 * len(NATIONS)
     s.close()
+
+
+def test_large_groups_are_shared_by_tasks(spark):
+    """cn_size4_star, cn_size3_selfjoin, cn_symmetry_broken: all trees of one nation come from several tasks."""
+    s, networks = planned(database(spark, [(str(i), "red", "", 0) for i in range(40)]), "red")
+    for n, trees in zip(networks, (40 * 39 // 2, 40 * 39 * 38 // 6)):
+        tasks = s.planner.scored(n).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == trees and len(tasks) > 4
+    s.close()
