@@ -115,3 +115,26 @@ def test_large_groups_are_shared_by_tasks(spark):
         tasks = s.planner.scored(n).groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in tasks) == trees and len(tasks) > 4
     s.close()
+
+
+def rows_of_joins(df):
+    """Most rows that a join of the plan that ran made, of its last stage."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan"}.get(node.nodeName())
+        todo += [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("how", [{}, {"break_symmetry": False}], ids=["cn_symmetry_broken", "cn_size3_selfjoin"])
+def test_trees_are_unfolded_from_lists(spark, how):
+    """Joins meet lists of keys, not a row for each tree."""
+    s, networks = planned(database(spark, [(str(i), "red", "", 0) for i in range(200)]), "red", **how)
+    trees = s.planner.scored(networks[0])
+    n = len(trees.collect())
+    assert n == 200 * 199 / (1 if how else 2)
+    assert 0 < rows_of_joins(trees) < n / 5
+    s.close()
