@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions.score import Params
-from quillon.operators import reports, topk
+from quillon.operators import nonfree, reports, topk
+from quillon.operators.query import parse
 from quillon.plans.joins import in_order
 from quillon.sources.tables import Database
 from quillon.spec import SALES
@@ -138,3 +139,18 @@ def test_trees_are_unfolded_from_lists(spark, how):
     assert n == 200 * 199 / (1 if how else 2)
     assert 0 < rows_of_joins(trees) < n / 5
     s.close()
+
+
+def test_few_large_parts_are_dealt_to_all_cores(spark, monkeypatch):
+    """idf_estimate_mean_error, topk_both_orders: the words of a table of one file are parted by many tasks; statistics and rows are the same."""
+    customers = spark.createDataFrame(customers_of(60), SCHEMAS["customer"]).coalesce(1)
+    db = Database(SALES, {t: customers if t == "customer" else spark.createDataFrame(NATIONS if t == "nation" else [], s) for t, s in SCHEMAS.items()})
+    found = []
+    for limit in (1 << 80, 0):
+        monkeypatch.setattr(nonfree, "DEALT_BYTES", limit, raising=False)
+        rows = nonfree.scanned(db, "customer", parse("red blue"))
+        s = topk.prepare(db, "red blue")
+        found.append((sorted(map(tuple, s.planner.table("customer").collect())), s.planner.stats))
+        s.close()
+        assert rows.rdd.getNumPartitions() == (1 if limit else spark.sparkContext.defaultParallelism)
+    assert found[0] == found[1] and len(found[0][0]) == 60
