@@ -141,6 +141,38 @@ def test_trees_are_unfolded_from_lists(spark, how):
     s.close()
 
 
+def rows_unfolded(df):
+    """Rows that the plan that ran made of lists, of its last stage."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Generate":
+            found.append(node.metrics().apply("numOutputRows").value())
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan"}.get(node.nodeName())
+        todo += [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_no_more_is_unfolded_than_trees(spark):
+    """cn_size3_selfjoin: lists lose a tree's own key before they are unfolded; no tree is tested by itself, and no column of one can be null."""
+    s, networks = planned(database(spark, [(str(i), "red", "", 0) for i in range(200)]), "red", break_symmetry=False)
+    trees = s.planner.scored(networks[0])
+    assert len(trees.collect()) == 200 * 199
+    assert rows_unfolded(trees) == [200 * 199]
+    assert not any(f.nullable for f in s.planner.scored(networks[0], tf_text=True).schema)
+    s.close()
+
+
+@pytest.mark.parametrize("keys", [60, 8], ids=["own keys", "shared keys"])
+def test_unfolded_trees_are_all_trees(spark, keys):
+    """cn_size3_selfjoin: the same trees, as often, as by plain joins, also where rows share a key."""
+    s, networks = planned(database(spark, [(str(int(k) % keys), *more) for k, *more in customers_of(24)]), break_symmetry=False)
+    for n in networks:
+        plain = s.planner.scored(n, s.planner.rows(n))
+        assert sorted(map(tuple, s.planner.scored(n).collect())) == sorted(map(tuple, plain.collect())) != []
+    s.close()
+
+
 def test_few_large_parts_are_dealt_to_all_cores(spark, monkeypatch):
     """idf_estimate_mean_error, topk_both_orders: the words of a table of one file are parted by many tasks; statistics and rows are the same."""
     customers = spark.createDataFrame(customers_of(60), SCHEMAS["customer"]).coalesce(1)
