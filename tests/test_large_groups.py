@@ -163,6 +163,37 @@ def test_no_more_is_unfolded_than_trees(spark):
     s.close()
 
 
+def nodes_that_ran(df):
+    """Nodes of the plan that ran, with those of all its stages; and how many Generates each piece of compiled code has."""
+    todo, found, compiled = [(df._jdf.queryExecution().executedPlan(), None)], [], []
+    while todo:
+        node, code = todo.pop()
+        found.append(node)
+        if node.nodeName().startswith("WholeStageCodegen"):
+            code = len(compiled)
+            compiled.append(0)
+        elif node.nodeName() == "InputAdapter":
+            code = None
+        elif node.nodeName() == "Generate" and code is not None:
+            compiled[code] += 1
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan"}.get(node.nodeName())
+        todo += [(getattr(node, inner)(), code)] if inner else [(node.children().apply(i), code) for i in range(node.children().size())]
+    return found, compiled
+
+
+@pytest.mark.parametrize("how", [{}, {"break_symmetry": False}], ids=str)
+def test_pairs_of_three_rows_are_not_shuffled(spark, how):
+    """cn_size4_star: lists of keys are shuffled, no row for each pair of a group; of the lists of a row one at a time is unfolded in compiled code, which keeps what it makes of a row."""
+    s, networks = planned(database(spark, [(str(i), "red", "", 0) for i in range(60)]), "red", **how)
+    trees = s.planner.scored(networks[1])
+    assert len(trees.collect()) == 60 * 59 * 58 / (1 if how else 6)
+    found, compiled = nodes_that_ran(trees)
+    shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in found if n.nodeName() == "Exchange"]
+    assert 0 < max(shuffled) < 60 * 59 / 2 / 4
+    assert max(compiled) == 1
+    s.close()
+
+
 @pytest.mark.parametrize("keys", [60, 8], ids=["own keys", "shared keys"])
 def test_unfolded_trees_are_all_trees(spark, keys):
     """cn_size3_selfjoin: the same trees, as often, as by plain joins, also where rows share a key."""
